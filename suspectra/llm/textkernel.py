@@ -91,12 +91,12 @@ def runs(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(inside & ~right) + 1
 
 
-def prefix_hash(raw: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def prefix_hash(raw: np.ndarray, fold: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """Prefix sums of byte value times power, modulo 2**64; ``span_hash`` reads any span's hash off them."""
     up, _ = powers(len(raw) + 1)
     sums = np.empty(len(raw) + 1, U64)
     sums[0] = 0
-    np.cumsum(BYTE_VALUES[fold][raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(values[fold][raw] * up[: len(raw)], out=sums[1:])
     return sums
 
 
