@@ -124,6 +124,18 @@ def _tagged(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def _redacted(text: Column, rule: Rule, mark: str) -> Column:
+    """The text with a rule's matches replaced. The lambda binds the text once, so that rules nest without repeating it."""
+
+    def step(t: Column) -> Column:
+        whole = F.regexp_extract_all(t, F.lit(rule.pattern), F.lit(0))
+        part = F.regexp_extract_all(t, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+        kept = _marked(whole, part, rule.least, mark)
+        return F.when(t.rlike(rule.gate), F.concat_ws("", F.zip_with(F.split(t, rule.pattern), kept, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))))).otherwise(t)
+
+    return F.get(F.transform(F.array(text), step), F.lit(0))
+
+
 def _marked(whole: Column, part: Column, least: int, mark: str) -> Column:
     return F.zip_with(whole, part, lambda m, g: F.when(F.char_length(g) >= least, F.lit(mark)).otherwise(m))
 
@@ -147,11 +159,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDAC
     hit = findings.filter(F.size("spans") > 0).select(F.col("blob").alias("hit")).distinct()
     text = F.col("text")
     for rule in rules:
-        pieces = F.split(text, rule.pattern)
-        whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-        part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-        kept = _marked(whole, part, rule.least, mark)
-        text = F.when(text.rlike(rule.gate), F.concat_ws("", F.zip_with(pieces, kept, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))))).otherwise(text)
+        text = _redacted(text, rule, mark)
     keyed = docs.withColumn("__blob", blob_id(F.col("text")))
     out = keyed.join(hit, keyed["__blob"] == hit["hit"], "left").withColumn("__clean", F.when(F.col("hit").isNotNull(), text).otherwise(F.col("text")))
     return out.select(*[F.col("__clean").alias("text") if c == "text" else (F.when(F.col("hit").isNotNull(), F.char_length("__clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c)) for c in docs.columns])
