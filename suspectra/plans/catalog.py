@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import impact
+
 
 def queries() -> dict:
-    return {}
+    return dict(impact.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(impact.SQL)
