@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import impact
+from . import baselines, graphs, impact, retyping
 
 
 def queries() -> dict:
-    return dict(impact.QUERIES)
+    return impact.QUERIES | baselines.QUERIES | graphs.QUERIES | retyping.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(impact.SQL)
+    return impact.SQL | baselines.SQL | graphs.SQL | retyping.SQL

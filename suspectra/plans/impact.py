@@ -198,8 +198,9 @@ def flag_after_ok(spark, sf_dir):
 def flag_after_fix(spark, sf_dir):
     """Fixing the worst cell to its true value and analysing anew."""
     c = cells(spark, sf_dir)
-    worst = cutoff.flag(inference.merge(inference.analyze(c, "SUM", BOOTS, SIG, SEED)))
-    fixes = c.join(worst.select("cell_id"), "cell_id").select("cell_id", (F.col("v") / 1000).cast("long").alias("value"))
+    # One cell is fixed at a time: its id is all that the driver needs.
+    worst = cutoff.flag(inference.merge(inference.analyze(c, "SUM", BOOTS, SIG, SEED))).first()["cell_id"]
+    fixes = c.filter(F.col("cell_id") == worst).select("cell_id", (F.col("v") / 1000).cast("long").alias("value"))
     return inference.merge(inference.analyze(cutoff.fix(c, fixes, "v"), "SUM", BOOTS, SIG, SEED)).filter("score > 0")
 
 
