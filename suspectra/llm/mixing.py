@@ -98,17 +98,17 @@ def mix(docs: DataFrame, repeats: int = REPEATS, budget: int | None = None) -> D
 
 
 SQL = f"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+WITH sized AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, {REPEATS} * source_size AS cap FROM sources),
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0))::BIGINT AS rest, (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0))::BIGINT AS weights,
   row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS pos FROM ranked WINDOW f AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 stop AS (SELECT rest, weights, pos FROM levels WHERE cap * weights > rest * weight ORDER BY pos LIMIT 1),
 aims AS (SELECT l.source, l.source_size, l.weight, CASE WHEN s.pos IS NULL OR l.pos < s.pos THEN cap::DOUBLE ELSE (s.rest * l.weight)::DOUBLE / s.weights::DOUBLE END AS target FROM levels l LEFT JOIN stop s ON true),
-queued AS (SELECT z.doc_id, z.source, z.size, z.h, a.source_size, a.target, sum(z.size) OVER (PARTITION BY z.source ORDER BY z.h, z.doc_id, z.size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum
+queued AS (SELECT z.rid, z.doc_id, z.source, z.size, z.h, a.source_size, a.target, sum(z.size) OVER (PARTITION BY z.source ORDER BY z.h, z.doc_id, z.size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum
   FROM sized z JOIN aims a ON z.source IS NOT DISTINCT FROM a.source),
 copies AS (SELECT *, (cum + e * source_size)::DOUBLE / target AS finish FROM queued, range({REPEATS}) t(e) WHERE target > 0 AND size > 0),
 line AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, h, doc_id, size, e ROWS UNBOUNDED PRECEDING) AS run FROM copies),
-got AS (SELECT source, h, doc_id, size, sum(size)::BIGINT AS taken FROM line WHERE run <= (SELECT sum(size) FROM sized) GROUP BY ALL)
+got AS (SELECT rid, sum(size)::BIGINT AS taken FROM line WHERE run <= (SELECT sum(size) FROM sized) GROUP BY rid)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(g.taken, 0)::BIGINT AS taken FROM queued q
-LEFT JOIN got g ON g.doc_id = q.doc_id AND g.source IS NOT DISTINCT FROM q.source AND g.h = q.h AND g.size = q.size"""
+LEFT JOIN got g USING (rid)"""

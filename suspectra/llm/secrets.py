@@ -156,10 +156,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDAC
     so one finding). ``n_chars`` follows the text.
     """
     findings, _ = scan(docs, rules=rules)
-    hit = findings.filter(F.size("spans") > 0).select(F.col("blob").alias("hit")).distinct()
+    hit = findings.filter(F.size("spans") > 0).select(F.col("blob").alias("__hit")).distinct()
     text = F.col("text")
     for rule in rules:
         text = _redacted(text, rule, mark)
     keyed = docs.withColumn("__blob", blob_id(F.col("text")))
-    out = keyed.join(hit, keyed["__blob"] == hit["hit"], "left").withColumn("__clean", F.when(F.col("hit").isNotNull(), text).otherwise(F.col("text")))
-    return out.select(*[F.col("__clean").alias("text") if c == "text" else (F.when(F.col("hit").isNotNull(), F.char_length("__clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c)) for c in docs.columns])
+    out = keyed.join(hit, keyed["__blob"] == hit["__hit"], "left").withColumn("__clean", F.when(F.col("__hit").isNotNull(), text).otherwise(F.col("text")))
+    return out.select(*[F.col("__clean").alias("text") if c == "text" else (F.when(F.col("__hit").isNotNull(), F.char_length("__clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c)) for c in docs.columns])

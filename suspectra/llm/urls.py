@@ -59,16 +59,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     # The rules' own reach: a few numbers, whatever their count. Rules without a closing slash need prefixes of their lengths.
     reach = table.agg(F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(F.size(F.split("rule_path", "/")) - 1).alias("levels"), F.array_sort(F.collect_set(F.when(~F.col("rule_path").endswith("/"), F.char_length("rule_path")))).alias("lengths")).first()
     host, path = parts(F.col(url))
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "__row", "__x")]
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict") and not c.startswith("__")]
     base = pages.select(*keep).withColumn("__row", F.monotonically_increasing_id()).withColumn("host", host).withColumn("path", path)
     wide = base.withColumn("__x", F.explode_outer(expressions(F.col("host"), F.col("path"), reach["labels"] or 0, list(reach["lengths"] or []), reach["levels"] or 0)))
     hashed = wide.withColumn("__full", F.sha2(F.col("__x"), 256)).withColumn("__short", F.substring("__full", 1, PREFIX)).drop("__x")
-    met = hashed.join(table.select("short", "full", F.struct(F.char_length("rule").alias("n"), F.col("verdict").alias("v"), F.col("rule").alias("r")).alias("hit")), F.col("__short") == F.col("short"), "left")
-    best = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in [*keep, "host", "path"]], F.max(F.when(F.col("__full") == F.col("full"), F.col("hit"))).alias("hit"))
+    met = hashed.join(table.select(F.col("short").alias("__rshort"), F.col("full").alias("__rfull"), F.struct(F.char_length("rule").alias("n"), F.col("verdict").alias("v"), F.col("rule").alias("r")).alias("__hit")), F.col("__short") == F.col("__rshort"), "left")
+    best = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in [*keep, "host", "path"]], F.max(F.when(F.col("__full") == F.col("__rfull"), F.col("__hit"))).alias("__hit"))
     bad = F.lit(default)
     if BAD_WORDS:
         bad = F.when(F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in BAD_WORDS])), F.lit("block")).otherwise(F.lit(default))
-    return best.select(*keep, "host", "path", F.col("hit.r").alias("rule"), F.coalesce(F.col("hit.v"), bad).alias("verdict"))
+    return best.select(*keep, "host", "path", F.col("__hit.r").alias("rule"), F.coalesce(F.col("__hit.v"), bad).alias("verdict"))
 
 
 def sql() -> str:

@@ -53,3 +53,35 @@ def windows(items: list, size: int) -> Counter:
 def shingle_list(text: str | None, size: int) -> list[tuple]:
     w = split_words(text)
     return [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+
+
+def base_rules(text: str | None) -> tuple:
+    text = text or ""
+    w = split_words(text, lower=False)
+    lines = [x for x in text.split("\n") if split_words(x)]
+    again = {k for k, n in windows(w, 5).items() if n > 1}
+    covered = {j for i in range(len(w) - 4) if tuple(w[i : i + 5]) in again for j in range(i, i + 5)}
+    n = len(w)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), n < 10 or 100 * len(covered) > 20 * n
+
+
+def best_window(text: str | None, item: str | None) -> float:
+    """The best weighted similarity of an item with an item-sized window of a text, in shingles of five words."""
+    s, it = shingle_list(text, 5), shingle_list(item, 5)
+    if not s or not it:
+        return 0.0
+    c, best = Counter(it), 0.0
+    for k in range(max(1, len(s) - len(it) + 1)):
+        w = Counter(s[k : k + len(it)])
+        both = sum((w & c).values())
+        best = max(best, both / (sum(w.values()) + len(it) - both))
+    return best
+
+
+def sharing(rows: list[dict], n_words: int) -> set:
+    """Ids of documents that have a passage of so many words in common with a document of another id."""
+    by = defaultdict(set)
+    for r in rows:
+        for k in windows((r["text"] or "").split(), n_words):
+            by[k].add(r["doc_id"])
+    return {i for ids in by.values() if len(ids) > 1 for i in ids}
