@@ -9,7 +9,7 @@ from .shared import read_table
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resampling.sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    out = resampling.sample(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
     return out.select("doc_id", "ratio", "weight", "kept")
 
 

@@ -5,7 +5,8 @@ texts, give each document the mean log ratio of its n-grams. The weights times
 SHARPNESS, plus Gumbel noise from a hash of the id, rank all documents; the top k
 are a sample without replacement in proportion to the importance. k is the number
 of documents whose ratio reaches the level that separates labelled good from bad
-rows best. Counts are over all documents; only their sums by bucket are gathered.
+rows best. The raw model counts all documents, the target model the good ones of a
+bounded sample of labelled rows; only sums by bucket are gathered.
 
 Defined cases: a null or very short text has no n-grams and ratio 0; null and
 repeated ids keep their rows (noise from the id and the text's length, so equal
@@ -32,7 +33,7 @@ GRAM = 4
 SMOOTHING = 0.02
 SHARPNESS = 100.0
 SEED = 7
-#: Labelled rows that set the level: a bounded sample, the smallest by hash of the id.
+#: Labelled rows that make the target model and set the level: a bounded sample, the smallest by hash of the id.
 LABELLED = 20_000
 U64 = np.uint64
 _CLASS = np.zeros(256, np.uint8)
@@ -186,13 +187,14 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFra
     labels: doc_id and quality (1 good, 0 bad). Repeated labels of an id count as good if any is.
     """
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__quality"))
-    marked = docs.join(marks, docs["doc_id"] == marks["__id"], "left").drop("__id")
-    total = counts(marked, F.col("__quality") == 1)
-    scored = stage_table(weigh(marked, log_ratio(total)).withColumn("weight", F.col("ratio") * SHARPNESS + noise(F.col("doc_id"))), "weights")
-    seen = scored.filter(F.col("__quality").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select("__quality", "ratio").limit(bound).toPandas()
+    # At most ``bound`` labelled ids, so that they can be broadcast: texts are never shuffled.
+    few = F.broadcast(stage_table(marks.orderBy(F.xxhash64("__id"), "__id").limit(bound), "labelled"))
+    total = counts(docs.join(few, docs["doc_id"] == few["__id"], "left"), F.col("__quality") == 1)
+    scored = stage_table(weigh(docs, log_ratio(total)).withColumn("weight", F.col("ratio") * SHARPNESS + noise(F.col("doc_id"))), "weights")
+    seen = scored.join(few, scored["doc_id"] == few["__id"]).groupBy("__id", "__quality").agg(F.max("ratio").alias("ratio")).toPandas()
     at = level(seen.loc[seen["__quality"] == 1, "ratio"].to_numpy(), seen.loc[seen["__quality"] != 1, "ratio"].to_numpy())
     if at is None:
-        return scored.drop("__quality").withColumn("kept", F.lit(True))
+        return scored.withColumn("kept", F.lit(True))
     k = scored.filter(F.col("ratio") >= at).count()
     least, _ = top_k(scored, "weight", k)
-    return scored.drop("__quality").withColumn("kept", F.col("weight") >= least)
+    return scored.withColumn("kept", F.col("weight") >= least)
