@@ -17,7 +17,7 @@ def follow_fixes(fixes: DataFrame, cells_path: str, scores_path: str, checkpoint
 
     def step(batch: DataFrame, number: int) -> None:
         before = spark.read.parquet(f"{cells_path}/{number - 1 if number else 'start'}")
-        last = batch.groupBy("cell_id").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
+        last = batch.groupBy("cell_id").agg({"v": "max"}).withColumnRenamed("max(v)", "value")
         cutoff.fix(before, last, "v").write.mode("overwrite").parquet(f"{cells_path}/{number}")
         now = spark.read.parquet(f"{cells_path}/{number}")
         inference.merge(inference.analyze(now, "SUM", boots)).write.mode("overwrite").parquet(f"{scores_path}/{number}")
