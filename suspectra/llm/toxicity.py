@@ -131,8 +131,9 @@ def fold(doc_id: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, words: int = WORDS, groups: str = IDENTITY) -> Model:
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The bound holds before texts are read: a sample of labels, then their texts.
-    few = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("id"), "toxic")
-    chosen = docs.select("doc_id", "text").join(few.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("id", "toxic", "text").dropDuplicates(["id"])
+    few = stage_table(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("id"), "toxic"), "labelled")
+    # At most ``bound`` rows of two numbers: the broadcast has a fixed size, and texts stay where they are.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("id", "toxic", "text").dropDuplicates(["id"])
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
