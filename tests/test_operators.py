@@ -182,3 +182,20 @@ def test_entry_without_corpus_operators(tmp_path):
     shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'impact_numeric_scores' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=os.environ | {"PYTHONPATH": ""}, check=False).returncode == 0
+
+
+def test_experiments(spark, tmp_path):
+    from suspectra.__main__ import main
+    from suspectra.functions.errors import ErrorModel
+    from suspectra.operators import experiments
+
+    cells = spark.createDataFrame([(k % 2, k // 2, k, 100 + k, 1) for k in range(24)], "range_id int, idx int, cell_id long, v long, weight int")
+    model = ErrorModel({(str(d), str(d)): 3 for d in range(10)} | {(str(d), f"{d}00"): 1 for d in range(10)}, {0: 9, 1: 1})
+    got = experiments.important(cells, model, 2, boots=20, rounds=2, detectors=experiments.DETECTORS[1:]).first()
+    assert got["number_of_errors"] == 2 and got["effort"] <= 2
+    one = experiments.proportion(cells, model, 2, boots=20, rounds=1, detectors=experiments.DETECTORS[1:]).collect()
+    assert [r["replicate"] for r in one] == [1, 2] and all(r["number_of_errors"] == 1 for r in one)
+    assert experiments.candidates(cells, model, 1, subtle=True).count() == 24
+    cells.write.parquet(str(tmp_path / "cells"))
+    main(["analyze", str(tmp_path / "cells"), str(tmp_path / "scores"), "--boots", "20"])
+    assert spark.read.parquet(str(tmp_path / "scores")).columns == ["cell_id", "score"]
