@@ -39,7 +39,7 @@ def absolute_error(x: Column, y: Column) -> Column:
     return F.when(both_numbers(x, y), F.abs(number(x) - number(y))).otherwise(categorical_change(x, y))
 
 
-#: Coefficients of the rational approximation of erf, formula 7.1.26 of Abramowitz and Stegun.
+#: Coefficients of the rational approximation of erf, formula 7.1.26 of Abramowitz and Stegun.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layout of a crowd row: where the worker, the items and their fields are.
+#: Fixed values, the layout of a crowd row: where the worker, the items and their fields are.
 WORKER_AT, ITEMS_AT, FIELDS = 15, 28, ("path", "workbook", "worksheet", "row", "col", "original", "image_url")
 
 

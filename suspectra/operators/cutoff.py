@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper quantiles of the normal distribution that the normal cutoff knows.
+#: Upper quantiles of the normal distribution that the normal cutoff knows.
 Z = {0.05: 1.6448, 0.1: 1.2815, 0.025: 1.9599, 0.075: 1.4395}
 
 

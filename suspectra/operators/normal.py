@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: standard deviations from the mean.
 LIMIT = 2.0
 
 
