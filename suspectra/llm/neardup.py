@@ -4,14 +4,12 @@ Each text's shingle set gives REGISTERS minima, each stored as a leading-zero co
 (6 bits) and MANTISSA bits. ROWS registers are a band's key. Documents with equal
 sets are one class before banding. In each bucket, members are compared with the
 smallest one; then, ROUNDS times, members outside the bucket's largest component
-with another member of that; and at last, where members still lie in several
-components, every member outside the largest with all members of the others. So no
-pair that shares a bucket and matters for components is lost, and a group of near
-copies costs a few comparisons each, not one for each pair. Pairs pass the
-collision-corrected estimate (less a margin of seven standard deviations) and are
-then confirmed on full sets. Before the last comparison's pairs are formed, sizes
-and one bit of each of 128 registers rule most of them out (at similarity 0.8, five
-standard deviations are allowed).
+with another member of that. These pairs pass the collision-corrected estimate (less
+a margin of seven standard deviations) and are confirmed on full sets. At last, where
+a bucket's members still lie in several components, those outside the largest are
+compared with all its documents and with one another, in blocks within tasks, on
+full sets. So no pair that shares a bucket and matters for components is lost, and a
+group of near copies costs a few comparisons each, not a row for each pair.
 
 With 40 bands of five, a pair at similarity 0.8 is missed with probability 1.3e-7.
 
@@ -37,9 +35,8 @@ from .shared import stage_table
 BANDS, ROWS, MANTISSA = 40, 5, 6
 REGISTERS, WIDTH = BANDS * ROWS, 6 + MANTISSA
 MARGIN = 0.2
-#: One-bit sketches of similar sets: bits of 128 that may differ. Expected at 0.8: 12.8, with a deviation of 3.4.
-APART = 30
-ROUNDS = 2
+ROUNDS = 1
+BLOCK = 500
 #: Bits of the gate that keeps texts without any candidate out of the verification's shuffle: 16 MB at most.
 GATE_BITS = 27
 U64 = np.uint64
@@ -59,7 +56,7 @@ def registers(found: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest (s1, s2), one-bit sketch (k1, k2) and band keys (none for an empty set)."""
+    """doc_id, n_shingles, the set's 128-bit digest (s1, s2) and band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,18 +73,17 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     ends = np.cumsum(count)
                     sums.append((total[ends] - total[ends - count]).view(np.int64))
                 full = np.flatnonzero(count)
-                keys, bits = np.zeros((len(full), BANDS), np.int64), np.zeros((n, 2), np.int64)
+                keys = np.zeros((len(full), BANDS), np.int64)
                 if len(full):
                     each = registers(found, np.searchsorted(text, full))
                     for k in range(ROWS):
                         keys |= each[:, k::ROWS].astype(np.int64) << (WIDTH * k)
-                    bits[full] = np.packbits(each[:, :128] & 1, axis=1).view(np.int64)
                 flat = pa.array(keys.ravel())
                 ends = np.concatenate([[0], np.cumsum((count > 0) * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(count.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], ["doc_id", "n_shingles", "s1", "s2", "k1", "k2", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(count.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "n_shingles", "s1", "s2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, k1 long, k2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
 def estimate(x: Column, y: Column, n: Column, m: Column) -> Column:
@@ -107,16 +103,20 @@ def similar(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return near.filter(fits & (estimate(F.col("ka"), F.col("kb"), F.col("na"), F.col("nb")) >= least - MARGIN)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    gate = bitmap.build(pairs.select(F.explode(F.array("a", "b"))), GATE_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(gate)
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of all documents in ``ids`` (and a few others): others are not worth a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(ids, GATE_BITS))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(bitmap.contains(shared.value, GATE_BITS, ids)))
+            known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(bitmap.contains(shared.value, GATE_BITS, known)))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(needed, "doc_id long, text string")
+
 
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -132,7 +132,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 keep.append(100 * both >= percent * (n[0] + n[1] - both))
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))).select(["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(needed, "doc_id long, text string")
+    texts = _needed(docs, pairs.select("a").unionAll(pairs.select("b")))
     wide = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
     return wide.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     able = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stage_table(able.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     same = (able["doc_id"] == classes["rep"]) & (able["s1"] == classes["s1"]) & (able["s2"] == classes["s2"])
-    reps = stage_table(able.join(classes, same).select("doc_id", "n_shingles", "k1", "k2", "keys"), "reps")
+    reps = stage_table(able.join(classes, same).select("doc_id", "n_shingles", "keys"), "reps")
     bands = stage_table(reps.select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
     buckets = stage_table(bands.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter(F.col("n") > 1), "buckets")
     tested = stage_table(bands.join(buckets, ["band", "key"]).filter(F.col("doc_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
@@ -160,28 +160,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     edges = links(tested)
     roots = components(edges)
     crowded = bands.join(buckets.filter(F.col("n") > 2).select("band", "key"), ["band", "key"])
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         # All buckets of two were compared in full at first.
-        inside = _mixed(crowded, reps, roots, turn)
-        fresh = _all_pairs(inside, least) if turn == ROUNDS else _pivot_pairs(inside)
-        pairs = stage_table(fresh.join(tested, ["a", "b"], "left_anti"), "rest")
-        if pairs.limit(1).count() == 0:
-            continue
-        more = links(pairs)
+        inside = _mixed(crowded, roots, turn)
+        pairs = stage_table(_pivot_pairs(inside).join(tested, ["a", "b"], "left_anti"), "rest")
         tested = tested.unionAll(pairs)
-        if more.limit(1).count():
-            edges = edges.unionAll(more)
-            roots = components(edges)
+        edges = edges.unionAll(links(pairs))
+        roots = components(edges)
+    last = stage_table(_block_links(_mixed(crowded, roots, ROUNDS), roots, docs, size, percent), "links")
+    if last.limit(1).count():
+        roots = components(edges.unionAll(last))
     final = classes.join(roots, classes["rep"] == roots["node"], "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("root", "rep").alias("component"))
     joined = signed.join(final, (signed["s1"] == final["c1"]) & (signed["s2"] == final["c2"]) & (signed["n_shingles"] > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _mixed(crowded: DataFrame, reps: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+def _mixed(crowded: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Members of buckets with several components, with the bucket's largest component and a member of it (another each turn)."""
-    info = reps.select(F.col("doc_id").alias("id"), "n_shingles", "k1", "k2").join(roots, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "k1", "k2", F.coalesce("root", "id").alias("comp"))
-    members = stage_table(crowded.join(info, F.col("doc_id") == F.col("id")).drop("id"), "members")
+    members = stage_table(crowded.join(roots, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("comp")), "members")
     lot = F.xxhash64("doc_id", F.lit(turn))
     sizes = members.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.min(lot).alias("lot"))
     mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("comps"), F.max_by("comp", "n").alias("major"), F.max_by("lot", "n").alias("lot")).filter(F.col("comps") > 1).drop("comps")
@@ -196,11 +193,52 @@ def _pivot_pairs(inside: DataFrame) -> DataFrame:
     return others.join(chosen, ["band", "key"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _all_pairs(inside: DataFrame, least: float) -> DataFrame:
-    """Members outside their bucket's largest component with all members of other components that sizes and sketches allow."""
-    few = inside.filter(F.col("comp") != F.col("major")).select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "comp", "n_shingles", "k1", "k2")])
-    order = (F.col("comp") == F.col("major")) | (F.col("x_doc_id") < F.col("doc_id"))
-    sizes = F.least("n_shingles", "x_n_shingles") >= least * F.greatest("n_shingles", "x_n_shingles") - 1e-9
-    apart = F.bit_count(F.col("k1").bitwiseXOR(F.col("x_k1"))) + F.bit_count(F.col("k2").bitwiseXOR(F.col("x_k2")))
-    on = [few["band"] == inside["band"], few["key"] == inside["key"], F.col("x_comp") != F.col("comp"), order, sizes, apart <= APART]
-    return few.join(inside, on).select(F.least("x_doc_id", "doc_id").alias("a"), F.greatest("x_doc_id", "doc_id").alias("b")).distinct()
+def _block_links(inside: DataFrame, roots: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of documents outside their buckets' largest components with those components' documents and with one another.
+
+    The documents outside are a set of queries against each component, in blocks of at
+    most about BLOCK by BLOCK documents, each in a task: shingle by shingle, so that
+    no pair becomes a row. A query gives one link for each component that it meets.
+    """
+    wanted = stage_table(inside.filter(F.col("comp") != F.col("major")).select(F.col("doc_id").alias("id"), "comp", F.col("major").alias("m")).distinct(), "wanted")
+    majors = wanted.select("m").distinct()
+    grown = roots.join(majors, F.col("root") == F.col("m"), "left_semi").select(F.col("node").alias("id"), F.col("root").alias("comp"), F.col("root").alias("m"))
+    members = grown.unionAll(majors.select(F.col("m").alias("id"), F.col("m").alias("comp"), "m")).unionAll(wanted).distinct()
+    blocks = lambda df, name: df.groupBy("m").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    shape = stage_table(blocks(members, "nb").join(blocks(wanted, "ns"), "m"), "shape")
+    lot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = members.join(shape, "m").select("id", "comp", "m", lot("nb").alias("mb"), upto("ns").alias("sb"), F.lit(False).alias("query"))
+    sides = stage_table(sides.unionAll(wanted.join(shape, "m").select("id", "comp", "m", upto("nb").alias("mb"), lot("ns").alias("sb"), F.lit(True).alias("query"))), "sides")
+    texts = _needed(docs, sides.select("id")).withColumnRenamed("doc_id", "tid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = _compare(table.combine_chunks(), size, percent)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return sides.join(texts, F.col("id") == F.col("tid")).drop("tid").groupBy("m", "mb", "sb").applyInArrow(compare, "a long, b long")
+
+
+def _compare(table: pa.Table, size: int, percent: int) -> tuple[list[int], list[int]]:
+    """(query, member) ids of similar texts of a block, one for each query and component."""
+    is_query = table["query"].to_numpy()
+    ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
+    column = table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]
+    found, owner = _sets(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, size)
+    n = np.bincount(owner, minlength=len(ids))
+    mine = ~is_query[owner]
+    order = np.argsort(found[mine], kind="stable")
+    keys, holder = found[mine][order], owner[mine][order]
+    ends = np.cumsum(n)
+    out: tuple[list[int], list[int]] = ([], [])
+    for q in np.flatnonzero(is_query):
+        h = found[ends[q] - n[q] : ends[q]]
+        lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
+        spans = hi - lo
+        at = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(lo, spans)
+        both = np.bincount(holder[at], minlength=len(ids))
+        hit = np.flatnonzero((both > 0) & (100 * both >= percent * (n[q] + n - both)) & (comps != comps[q]))
+        for k in np.unique(comps[hit], return_index=True)[1]:
+            out[0].append(int(ids[q]))
+            out[1].append(int(ids[hit[k]]))
+    return out

@@ -174,3 +174,45 @@ def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
     got = resampling.sample(docs, labels.filter(F.col("doc_id") % 2 == 0)).join(labels.filter(F.col("doc_id") % 2 == 1), "doc_id").toPandas()
     assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.05
+
+
+def test_chains_and_clouds_of_near_copies(spark):
+    """Neighbours in a chain are linked and others aren't; a cloud's members are linked by way of few."""
+    rng = random.Random(8)
+    rows, words = [], tables.sentence(rng, 100).split()
+    for k in range(60):
+        words = list(words)
+        words[rng.randrange(100)] = f"edit{k}"
+        words[rng.randrange(100)] = f"more{k}"
+        words[rng.randrange(100)] = f"edge{k}"
+        rows.append((1000 - k, " ".join(words)))
+    base = tables.sentence(rng, 90).split()
+    for k in range(80):
+        copy = list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(90)] = f"x{rng.random()}"
+        rows.append((2000 + (k * 37) % 80, " ".join(copy)))
+    rng.shuffle(rows)
+    expected = sorted(brute.near_duplicates(rows, 2))
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()))
+    assert got == expected
+    assert len({r[2] for r in expected}) > 2
+
+
+def test_block_comparison_finds_every_component():
+    rng = random.Random(9)
+    base = tables.sentence(rng, 60).split()
+    texts = []
+    for k in range(40):
+        copy = list(base)
+        for _ in range(k % 8):
+            copy[rng.randrange(60)] = f"y{k}{rng.random()}"
+        texts.append(" ".join(copy))
+    query = [k % 5 == 0 for k in range(40)]
+    comps = [k if k % 5 == 0 else -(k % 3) - 1 for k in range(40)]
+    got = set(zip(*neardup._compare(pa.table({"id": list(range(40)), "comp": comps, "m": [0] * 40, "query": query, "text": texts}), 2, 80), strict=True))
+    sets = [brute.shingle_set(t, 2) for t in texts]
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    for q in range(0, 40, 5):
+        want = {comps[b] for b in range(40) if not query[b] and comps[b] != comps[q] and alike(q, b)}
+        assert {comps[b] for a, b in got if a == q} == want and all(alike(a, b) for a, b in got)
