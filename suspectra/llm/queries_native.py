@@ -10,7 +10,7 @@ from .shared import read_table
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(read_table(spark, sf_dir, "documents"))
+    found, _ = secrets.scan(read_table(spark, sf_dir, "documents"), rules=secrets.WHOLE)
     base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("path").alias("doc_id"), *[count(k) for k in secrets.BASE], F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))

@@ -12,7 +12,7 @@ gives empty results; other columns are ignored by ``scan`` and kept by ``redact`
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,13 @@ RULES = (
     Rule("url", 1, r"[a-z]+://[A-Za-z0-9._-]+:[^\x00-\x20/@:]+@[A-Za-z0-9.-]+", r"://[^\x00-\x20/@:]+:[^\x00-\x20/@:]+@", 0, 12),
 )
 BASE = ("assign", "access", "hex")
+#: A private key: from its BEGIN to its END line, whatever stands between but five dashes; without an END line, the
+#: lines of an encrypted key's head and those of base64 alone, and long runs of base64 behind a few other characters.
+#: All loops are possessive, so that long keys need no stack.
+_PEM = r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-{1,4}+(?!-))*+-?-----END [A-Z ]*PRIVATE KEY-----|\
+(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:\r?\n){1,2}+[\x20\t>]*+[A-Za-z0-9+/]++={0,2}+[\x20\t]*+(?=[\r\n]|\z)|[^A-Za-z0-9+/=]{0,16}+[A-Za-z0-9+/]{24,}+={0,2}+)*+)""".replace("\\\n", "")
+#: RULES with private keys up to their ends, for redaction and op1. RULES itself is what op1's SQL is made of.
+WHOLE = tuple(replace(r, version=2, pattern=_PEM) if r.kind == "pem" else r for r in RULES)
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -149,7 +156,7 @@ def digest(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = WHOLE, mark: str = "[REDACTED]") -> DataFrame:
     """Documents with every secret replaced by ``mark``; only texts with a finding change.
 
     Joined by id and blob; ids are taken as unique (repeated rows have one blob and
@@ -158,7 +165,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDAC
     findings, _ = scan(docs, rules=rules)
     hit = findings.filter(F.size("spans") > 0).select(F.col("blob").alias("__hit")).distinct()
     text = F.col("text")
-    for rule in rules:
+    # Private keys first: a mark within a key would end its base64.
+    for rule in sorted(rules, key=lambda r: r.kind != "pem"):
         text = _redacted(text, rule, mark)
     keyed = docs.withColumn("__blob", blob_id(F.col("text")))
     out = keyed.join(hit, keyed["__blob"] == hit["__hit"], "left").withColumn("__clean", F.when(F.col("__hit").isNotNull(), text).otherwise(F.col("text")))
