@@ -26,12 +26,25 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def gate(key: str, pattern: str) -> str:
+    """A substring of every match: the rule's keyword if it is one, else the longest literal word part (the first of them).
+
+    Groups, classes and optional characters are taken as gaps, so what is left is in every match.
+    """
+    bare, less = pattern, None
+    while bare != less:
+        less, bare = bare, re.sub(r"\(\?:[^()]*\)(?:\?|\{\d+,\d+\})?", "\n", bare)
+    bare = re.sub(r"\\S\+?|\[[^\]]*\]|.\?", "\n", bare)
+    parts = re.findall(r"[^\s]+", bare)
+    return key if any(key in part for part in parts) else max(parts, key=len)
+
+
 def opener(key: str, pattern: str) -> str:
-    """The rare substring whose absence rules a pattern out: ``licen`` where every match has it, else the keyword."""
+    """The rare substring whose absence rules a pattern out: ``licen`` where every match has it, else the gate."""
     bare = pattern
     while (less := re.sub(r"\(\?:[^()]*\)(?:\?|\{0,\d+\})", "", bare)) != bare:
         bare = less
-    return "licen" if "licen" in bare and "|" not in bare else key
+    return "licen" if "licen" in bare and "|" not in bare else gate(key, pattern)
 
 
 def padded(pattern: str) -> str:
@@ -61,7 +74,7 @@ def detections(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     # One JSON literal, folded once: a literal for each field of each rule would make a plan of thousands of nodes.
-    rows_json = json.dumps([{"rank": k, "cls": cls, "key": key, "pattern": padded(pattern)} for k, (_, cls, key, pattern) in enumerate(RULES)])
+    rows_json = json.dumps([{"rank": k, "cls": cls, "key": gate(key, pattern), "pattern": padded(pattern)} for k, (_, cls, key, pattern) in enumerate(RULES)])
     table = F.from_json(F.lit(rows_json), "array<struct<rank:int,cls:int,key:string,pattern:string>>")
     keys = sorted({opener(key, pattern) for _, _, key, pattern in RULES})
     opens = F.lit(False)

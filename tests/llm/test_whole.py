@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from suspectra.llm import secrets  # noqa: E402
+from suspectra.llm import licenses, secrets  # noqa: E402
 
 BODY = "".join(random.Random(5).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1624)) + "=="
 
@@ -50,3 +51,47 @@ def test_a_mention_of_a_private_key_takes_no_prose(spark):
     text = f"A key starts with {HEAD} and has well-known lines.\nNothing more - really.\n{KEYS['plain']}\nEnd."
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert secrets.redact(docs).first()["text"] == "A key starts with [REDACTED] and has well-known lines.\nNothing more - really.\n[REDACTED]\nEnd."
+
+
+NOTICES = {
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to it.",
+    "warranty": "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM",
+    "crown": "Contains public sector information licensed under the Open Government Licence",
+    "etalab": "Sous Licence Ouverte",
+    "apache-2.0": "you may not use this file except in compliance with the License",
+    "gpl-3.0-or-later": "either version 3 of the License, or (at your option) any later version",
+    "artistic": "The intent of this document is to state the conditions under which a Package may be copied",
+    "boost-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation",
+}
+
+
+def test_notices_without_their_keyword(spark):
+    docs = spark.createDataFrame([(k, text) for k, text in enumerate(NOTICES.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.summary(docs).collect()}
+    assert all(label in got[k] for k, label in enumerate(NOTICES))
+
+
+def _samples(pattern: str):
+    """Matches of a rule's pattern: optional parts left out or taken, each alternative of a group."""
+    for optional in (False, True):
+        for pick in range(3):
+
+            def group(m, optional=optional, pick=pick):
+                body, often = m[1].split("|"), m[2] or ""
+                if often == "?" and not optional or often.startswith("{0") and not optional:
+                    return ""
+                return body[pick % len(body)]
+
+            text, last = pattern, None
+            while text != last:
+                last, text = text, re.sub(r"\(\?:([^()]*)\)(\?|\{\d+,\d+\})?", group, text)
+            text = re.sub(r"(.)\?", r"\1" if optional else "", text.replace("[0-9]", "7").replace("[cs]", "s").replace(r"\S+", "x"))
+            yield text
+
+
+def test_gates_are_in_every_match():
+    for _, _, key, pattern in licenses.RULES:
+        gate, opener = licenses.gate(key, pattern), licenses.opener(key, pattern)
+        for text in _samples(pattern):
+            assert re.fullmatch(pattern, text), (pattern, text)
+            assert gate and gate in text and opener in text
