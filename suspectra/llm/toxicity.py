@@ -2,9 +2,10 @@
 
 A logistic model over the presence of words. Words are picked by their association
 with the label over a bounded sample of labelled rows. Each labelled text that has
-an identity term gets a counterfactual, the text with the term swapped for another
-of its group, and the squared change of the score is a penalty, so that a neutral
-mention of a group does not raise a text's score.
+an identity term gets counterfactuals, the text with the term swapped for each other
+one of its group, and the mean squared change of the score is a penalty, so that a
+neutral mention of a group does not raise a text's score. A term that the model
+doesn't know has the weight 0.
 
 Defined cases: null and empty texts get the score of a text without known words; a
 null id is scored and never learnt from; repeated labels of an id count as toxic if
@@ -35,7 +36,7 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
-#: Identity terms; a term is swapped for the next one of its line.
+#: Identity terms; a term is swapped for each other one of its line.
 IDENTITY = """
 women men girls boys
 woman man girl boy
@@ -64,11 +65,11 @@ def strings_of(terms: list[str]) -> pa.Array:
     return tk.strings(pa.array(terms, pa.string()))
 
 
-def swaps(groups: str = IDENTITY) -> dict[int, int]:
-    out: dict[int, int] = {}
+def swaps(groups: str = IDENTITY) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
     for line in groups.strip().splitlines():
-        h = word_hashes(line.split())
-        out |= {int(a): int(b) for a, b in zip(h, np.roll(h, -1), strict=True)}
+        h = [int(x) for x in word_hashes(line.split())]
+        out |= {a: [b for b in h if b != a] for a in h}
     return out
 
 
@@ -94,7 +95,7 @@ class Model:
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, vocabulary: np.ndarray, pairs: dict[int, int], l2: float = L2, swap: float = SWAP, steps: int = 400) -> Model:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, vocabulary: np.ndarray, pairs: dict[int, list[int]], l2: float = L2, swap: float = SWAP, steps: int = 400) -> Model:
     """rows: each text's known words. Gradient descent with momentum on the mean log loss plus both penalties."""
     share = (toxic.sum() + 1) / (len(toxic) + 2)
     bias = float(np.log(share / (1 - share)))
@@ -103,21 +104,22 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, vocabulary: np.ndarray, pairs
     n, v = len(rows), len(vocabulary)
     at = np.concatenate([np.searchsorted(vocabulary, r) for r in rows]).astype(np.int64)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
-    # Counterfactuals: the change of a text's score is the difference of two weights.
+    # Counterfactuals: the change of a text's score is the difference of two weights; place v is an unknown word's weight, 0.
     known = {int(h): k for k, h in enumerate(vocabulary)}
-    changes = [(at_k, known[pairs[int(vocabulary[at_k])]]) for at_k in at if int(vocabulary[at_k]) in pairs and pairs[int(vocabulary[at_k])] in known]
-    source, target = (np.array(c, np.int64) for c in zip(*changes, strict=True)) if changes else (np.zeros(0, np.int64),) * 2
+    n_texts = np.bincount(at, minlength=v)
+    changes = [(k, known.get(other, v), n_texts[k] / len(pairs[h])) for h, k in known.items() for other in pairs.get(h, ())]
+    source, target, share_of = (np.array(c, d) for c, d in zip(zip(*changes, strict=True), (np.int64, np.int64, float), strict=True)) if changes else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     w, b = np.zeros(v), bias
     vw, vb = np.zeros(v), 0.0
     # Step size from each word's own curvature.
-    curve = np.bincount(at, minlength=v) / n / 4 + l2 / n + 4 * swap * (np.bincount(source, minlength=v) + np.bincount(target, minlength=v)) / n
+    curve = np.bincount(at, minlength=v) / n / 4 + l2 / n + 4 * swap * (np.bincount(source, share_of, v) + np.bincount(target, share_of, v + 1)[:v]) / n
     for _ in range(steps):
         z = b + np.bincount(row, w[at], minlength=n)
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic
         grad = np.bincount(at, err[row], minlength=v) / n + l2 * w / n
         if len(source):
-            d = w[source] - w[target]
-            grad += 2 * swap / n * (np.bincount(source, d, minlength=v) - np.bincount(target, d, minlength=v))
+            d = share_of * (w[source] - np.append(w, 0.0)[target])
+            grad += 2 * swap / n * (np.bincount(source, d, minlength=v) - np.bincount(target, d, minlength=v + 1)[:v])
         vw = 0.8 * vw - 0.1 * grad / curve
         vb = 0.8 * vb - 0.4 * err.mean()
         w, b = w + vw, b + vb

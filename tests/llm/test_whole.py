@@ -7,11 +7,12 @@ import random
 import re
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from suspectra.llm import licenses, secrets  # noqa: E402
+from suspectra.llm import licenses, secrets, toxicity  # noqa: E402
 
 BODY = "".join(random.Random(5).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1624)) + "=="
 
@@ -95,3 +96,14 @@ def test_gates_are_in_every_match():
         for text in _samples(pattern):
             assert re.fullmatch(pattern, text), (pattern, text)
             assert gate and gate in text and opener in text
+
+
+def test_swaps_to_words_that_the_model_does_not_know():
+    h = {t: int(toxicity.word_hashes([t])[0]) for t in ("idiot", "muslim", "hindu")}
+    toxic = np.array([1.0] * 40 + [0.0] * 60)
+    rows = [np.array([h["idiot"], h["muslim"]], np.uint64)] * 40 + [np.array([h["muslim"]], np.uint64)] * 5 + [np.array([], np.uint64)] * 55
+    vocabulary = np.unique(np.array([h["idiot"], h["muslim"]], np.uint64))
+    weight = lambda pairs: toxicity.fit(rows, toxic, vocabulary, pairs).weights[np.searchsorted(vocabulary, np.uint64(h["muslim"]))]
+    assert weight({}) > 0.5 and abs(weight(toxicity.swaps())) < 0.1
+    # Every other term of the line, not the next one only.
+    assert h["hindu"] in toxicity.swaps()[h["muslim"]] and len(toxicity.swaps()[h["muslim"]]) == 5
