@@ -75,6 +75,21 @@ def quantile_compat(ordered: list[tuple[int, int]], share: float) -> list[tuple[
     return out
 
 
+def quantile_walk(scores: DataFrame, share: float) -> DataFrame:
+    """What ``quantile_compat`` selects, from the regions of tied scores.
+
+    After the first region, a region loses its first member; behind one that has no other, the walk finds nothing more.
+    """
+    order = Window.orderBy(F.col("score").desc())
+    regions = scores.groupBy("score").agg(F.count("*").alias("size"), F.min("cell_id").alias("head")).withColumn("n", F.sum("size").over(Window.partitionBy()))
+    placed = regions.withColumn("upto", F.sum("size").over(order)).withColumn("later", (F.row_number().over(order) > 1).cast("int"))
+    start = F.col("upto") - F.col("size") + F.col("later")
+    lone = F.max(F.when((F.col("later") == 1) & (F.col("size") == 1), 1).otherwise(0)).over(order)
+    inside = (start < F.col("n")) & (start / F.col("n") < share) & (F.col("upto") / F.col("n") < share + 1.0 / F.col("n"))
+    taken = placed.withColumn("lone", lone).filter(inside & (F.col("lone") == 0)).select(F.col("score").alias("__score"), "head", "later")
+    return scores.join(taken, (F.col("score") == F.col("__score")) & ((F.col("later") == 0) | (F.col("cell_id") != F.col("head"))), "left_semi").select("cell_id", "score")
+
+
 def number(scores: DataFrame, n: int, known_good: DataFrame | None = None) -> DataFrame:
     """The first n, less the known good ones among them."""
     return _unknown(scores.orderBy(F.col("score").desc(), "cell_id").limit(n).select("cell_id", "score"), known_good)

@@ -225,9 +225,8 @@ SELECT cell_id, score FROM placed WHERE upto < 0.1::DOUBLE + 1.0::DOUBLE / n AND
 
 
 def cut_quantile_compat(spark, sf_dir):
-    """The literal walk, over the cells with a score: few, and a list in the driver by nature of the walk."""
-    scores = _scores(spark, sf_dir).filter("score > 0").orderBy(F.col("score").desc(), "cell_id").limit(10_000).collect()
-    return spark.createDataFrame([(c, s) for c, s in cutoff.quantile_compat([(r["cell_id"], r["score"]) for r in scores], 0.5)], "cell_id long, score long")
+    """The literal walk over all cells, by regions of ties."""
+    return cutoff.quantile_walk(_scores(spark, sf_dir), 0.5)
 
 
 def cut_number(spark, sf_dir):
