@@ -1,20 +1,29 @@
 """Quality rules: robust multivariate outliers.
 
 Each document becomes a vector of transformed statistics. Per language and source,
-a minimum-covariance-determinant estimate (location and scatter of the densest
-share of the rows) gives Mahalanobis distances; far documents are rejected.
-Concentration steps run over all rows: one aggregation of counts and integer
-moments by group and distance bin a step, so that nothing but those sums leaves
-the executors and results don't depend on the order of rows.
+a minimum-covariance-determinant estimate (location and scatter of the densest SHARE
+of the rows) gives Mahalanobis distances; documents beyond the chi-square quantile of
+LEVEL, widened for small groups, are rejected. The estimate starts from the quartiles
+and from several small random subsets, takes concentration steps from each, goes on
+with the start of least determinant, and is reweighted at the end. Every step runs
+over all rows: one aggregation of counts and integer moments by group, start and
+distance bin, so that nothing but those sums leaves the executors and results don't
+depend on the order of rows.
+
+Counts are mostly 0 in clean texts, and a column of zeros has no scatter. So a count
+is spread over its unit by a hash of the text (jitter) before its logarithm is taken;
+logarithms also shorten the tails.
 
 Defined cases: a null text has no words and fails; null lang and source are groups
 of their own; groups under MIN_GROUP rows are pooled by language and then all
-together, and a pool too small to fit rejects nothing; ids are only carried; an
-empty table gives an empty result; other columns are ignored.
+together, and a pool too small to fit rejects nothing; a singular scatter gets a ridge
+of the fixed point's step; ids are only carried; equal texts of a group share their
+fate; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
@@ -37,17 +46,17 @@ UPPER[65:91] = True
 WINDOW = 5
 #: Fixed point of the transformed statistics: sums of squares stay exact in 64 bits.
 SCALE = 1024
-FEATURES = ("word_length", "symbols", "marks", "upper", "dup_lines", "repeats")
+FEATURES = ("word_length", "marks", "dup_lines", "repeats", "upper", "distinct")
 D = len(FEATURES)
-#: Standard deviations below which a statistic's scatter is not believed (constant columns would make it singular).
-FLOOR = (0.06, 0.25, 0.25, 0.04, 0.08, 0.05)
 SHARE = 0.75
-#: Share over P(chi2(D + 2) <= its SHARE quantile at D degrees): makes the subset's scatter consistent for normal rows.
-CONSISTENCY = 1.36
-STEPS = 5
-MIN_GROUP = 100
-LEAST = 30
-CUTOFF = 35.0
+#: Rows of normal statistics that the cutoff rejects; those of the final reweighting step.
+LEVEL, TRIM = 1e-9, 0.025
+#: Starts of a group (the quartiles and random subsets), their steps, and the steps of the best one.
+STARTS, EARLY, STEPS = 4, 2, 4
+SUBSET = 3 * (D + 1)
+BINS = 16
+MIN_GROUP = 10 * D
+LEAST = 5 * D
 PAIRS = list(combinations_with_replacement(range(D), 2))
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, x array<long>"
 
@@ -98,20 +107,64 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     dups = lines - np.bincount(single, minlength=n)
     out = {"n_words": n_words, "word_chars": chars, "n_symbols": _by_text(SYMBOLS[raw], offsets), "n_dup_lines": dups, "n_repeat_words": repeats}
     marks, upper = _by_text(MARKS[raw], offsets), _by_text(UPPER[raw], offsets)
+    _, of = tk.distinct(w.hashes, w.text)
+    kinds = np.bincount(of, minlength=n)
+    u = jitter(tk.span_hash(sums, offsets[:-1], offsets[1:]), 4)
     x = np.stack(
         [
-            np.log((chars + 30 * 5.5) / (n_words + 30)),
-            np.log1p(10 * out["n_symbols"] / (n_words + 10)),
-            np.log1p(10 * marks / (n_words + 10)),
-            upper / (chars + 100),
-            dups / (lines + 4),
-            repeats / (n_words + 20),
+            np.log((chars + 165) / (n_words + 30)),
+            np.log((marks + 1 + 2 * u[0]) / (n_words + 100)),
+            np.log((dups + 1 + 2 * u[1]) / (lines + 20)),
+            np.log((repeats / 10 + 1 + 2 * u[2]) / (n_words / 10 + 10)),
+            np.log((upper + 1 + 2 * u[3]) / (chars + 100)),
+            np.log((kinds + 30) / (n_words + 30) ** 0.9),
         ],
         axis=1,
     )
     return out | {"x": np.round(x * SCALE).astype(np.int64)}
 
 
+def jitter(hashes: np.ndarray, k: int) -> list[np.ndarray]:
+    """k series of numbers in [0, 1) from hashes."""
+    return [(tk.mix64(hashes + tk.U64(j + 1)) >> tk.U64(11)).astype(float) / (1 << 53) for j in range(k)]
+
+
+def chi_square(x: float, k: int) -> float:
+    """P(chi-square of k degrees <= x), by the series of the incomplete gamma function."""
+    a, y = k / 2, x / 2
+    if y <= 0:
+        return 0.0
+    term = total = 1 / a
+    i = 0
+    while term > 1e-16 * total:
+        i += 1
+        term *= y / (a + i)
+        total += term
+    return min(1.0, total * math.exp(a * math.log(y) - y - math.lgamma(a)))
+
+
+def quantile(p: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, k) < p else (low, mid)
+    return low
+
+
+def consistency(share: float) -> float:
+    """What the scatter of the nearest share of normal rows is divided by."""
+    return chi_square(quantile(share, D), D + 2) / share
+
+
+def limit(level: float, n: F.Column) -> F.Column:
+    """The cutoff of squared distances for a group of n rows: the chi-square quantile, times what prediction from a sample adds.
+
+    The factor is that of the scaled F distribution, to the first order in 1 / n.
+    """
+    q = quantile(1 - level, D)
+    return q * (1 + (q - D + 2) / (2 * F.greatest(SHARE * n - D, F.lit(1.0)))) * (1 + 1 / n)
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """STATS for each row of docs (doc_id, lang, source, text)."""
 
@@ -144,46 +197,83 @@ def _distance() -> F.Column:
     total = F.lit(0.0)
     for k, (i, j) in enumerate(PAIRS):
         total = total + F.col("p")[k] * dev[i] * dev[j]
-    return total
+    return F.greatest(total, F.lit(0.0))
+
+
+FIT = "g string, start int, mu array<double>, p array<double>, size double"
 
 
-FIT = "g string, mu array<double>, p array<double>"
+def _moments() -> list[F.Column]:
+    return [F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(D)]).alias("s1"), F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("s2")]
 
 
-def _fit(total: int, s1: list[int], s2: list[int]) -> tuple[list[float], list[float]]:
+def fitted(total: int, s1: list[int], s2: list[int], shrunk: float) -> tuple[list[float], list[float], float]:
+    """Location, precision and the logarithm of the determinant from moments of a subset whose scatter is ``shrunk``."""
     mean = np.array([v / total for v in s1]) / SCALE
     cov = np.zeros((D, D))
     for k, (i, j) in enumerate(PAIRS):
         cov[i, j] = cov[j, i] = s2[k] / total / SCALE**2 - mean[i] * mean[j]
-    precision = np.linalg.inv(CONSISTENCY * cov + np.diag(np.square(FLOOR)))
-    return mean.tolist(), [float(precision[i, j] * (1 if i == j else 2)) for i, j in PAIRS]
+    cov /= shrunk
+    spread = np.linalg.eigvalsh(cov)
+    if spread[0] <= 1e-9 * max(spread[-1], 1 / SCALE**2):
+        cov += np.eye(D) / SCALE**2
+    precision = np.linalg.inv(cov)
+    return mean.tolist(), [float(precision[i, j] * (1 if i == j else 2)) for i, j in PAIRS], float(np.linalg.slogdet(cov)[1])
 
 
-def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The nearest SHARE of a group, by whole bins of distance, gives the next estimate."""
+def _sums(rows: pd.DataFrame) -> tuple[int, list[int], list[int]]:
+    return int(rows["n"].sum()), np.stack(rows["s1"].to_list()).sum(axis=0).tolist(), np.stack(rows["s2"].to_list()).sum(axis=0).tolist()
+
+
+def _fit_frame(rows: pd.DataFrame, near: pd.DataFrame, shrunk: float) -> pd.DataFrame:
+    mu, p, size = fitted(*_sums(near), shrunk)
+    return pd.DataFrame({"g": [rows["g"].iloc[0]], "start": [rows["start"].iloc[0]], "mu": [mu], "p": [p], "size": [size]})
+
+
+def concentrated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nearest SHARE of a group, by whole bins of distance, gives the next estimate of a start."""
     pdf = pdf.sort_values("bin")
     upto = pdf["n"].cumsum().to_numpy()
-    last = int(np.searchsorted(upto, int(np.ceil(SHARE * upto[-1])))) + 1
-    if upto[-1] < LEAST:
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mu": [[0.0] * D], "p": [[0.0] * len(PAIRS)]})
-    near = pdf.iloc[:last]
-    s1 = [sum(int(r[i]) for r in near["s1"]) for i in range(D)]
-    s2 = [sum(int(r[k]) for r in near["s2"]) for k in range(len(PAIRS))]
-    mu, p = _fit(int(upto[last - 1]), s1, s2)
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mu": [mu], "p": [p]})
-
-
-def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
-    """The statistics with base_failed, distance and kept."""
+    return _fit_frame(pdf, pdf.iloc[: int(np.searchsorted(upto, math.ceil(SHARE * upto[-1]))) + 1], consistency(SHARE))
+
+
+def _trimmed(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _fit_frame(pdf, pdf, consistency(1 - TRIM))
+
+
+def _started(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _fit_frame(pdf, pdf, 1.0)
+
+
+def estimate(stats: DataFrame) -> DataFrame:
+    """FIT of each group of stats (g, x) with LEAST rows or more."""
+    sizes = stats.groupBy("g").agg(F.count("*").alias("of"), *[F.percentile(F.col("x")[i], F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias(f"q{i}") for i in range(D)])
+    sizes = stage_table(sizes.filter(F.col("of") >= LEAST), "sizes")
+    # Fixed-point values are few, so the quartiles are exact. 1.349: quartile distance of the standard normal.
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * SCALE), F.lit(1.0 / SCALE)) for i in range(D)]
+    first = sizes.select("g", F.lit(0).alias("start"), F.array(*[F.col(f"q{i}")[1] / float(SCALE) for i in range(D)]).alias("mu"), F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i, j in PAIRS]).alias("p"), F.lit(0.0).alias("size"))
+    # Random starts: about SUBSET rows each, by a hash of the vector.
+    step = F.greatest(F.floor(F.col("of") / SUBSET), F.lit(1))
+    tickets = F.array(*[F.when(F.pmod(F.xxhash64("x", F.lit(s)), step) == 0, F.lit(s)) for s in range(1, STARTS)])
+    drawn = stats.join(sizes.select("g", "of"), "g").withColumn("start", F.explode(F.array_compact(tickets)))
+    others = drawn.groupBy("g", "start").agg(*_moments()).groupBy("g", "start").applyInPandas(_started, FIT)
+    fit = stage_table(first.unionByName(others), "starts")
+    for k in range(EARLY + STEPS):
+        near = stats.join(fit, "g").withColumn("bin", F.floor(BINS * F.log2(1 + _distance())).cast("int"))
+        fit = stage_table(near.groupBy("g", "start", "bin").agg(*_moments()).groupBy("g", "start").applyInPandas(concentrated, FIT), "fit")
+        if k == EARLY - 1:
+            best = fit.groupBy("g").agg(F.min_by("start", F.struct("size", "start")).alias("start"))
+            fit = stage_table(fit.join(best, ["g", "start"]).select(*fit.columns), "best")
+    core = stats.join(fit, "g").filter(_distance() <= quantile(1 - TRIM, D))
+    return stage_table(core.groupBy("g", "start").agg(*_moments()).groupBy("g", "start").applyInPandas(_trimmed, FIT), "fit")
+
+
+def judge(docs: DataFrame, level: float = LEVEL, least: int = MIN_GROUP) -> DataFrame:
+    """The statistics with base_failed, distance (squared; null in a group too small to fit), cutoff and kept."""
     stats = stage_table(_grouped(stage_table(statistics(docs), "stats"), least), "vectors")
-    # Start from medians (exact: fixed-point values are few) with the floors as scatter.
-    start = stats.groupBy("g").agg(F.array(*[F.percentile(F.col("x")[i], F.lit(0.5)) / float(SCALE) for i in range(D)]).alias("mu"))
-    diagonal = [1 / FLOOR[i] ** 2 if i == j else 0.0 for i, j in PAIRS]
-    fit = stage_table(start.select("g", "mu", F.array(*[F.lit(v) for v in diagonal]).alias("p")), "fit")
-    for _ in range(steps):
-        near = stats.join(fit, "g").withColumn("bin", F.floor(16 * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))).cast("int"))
-        sums = near.groupBy("g", "bin").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(D)]).alias("s1"), F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("s2"))
-        fit = stage_table(sums.groupBy("g").applyInPandas(_concentrate, FIT), "fit")
+    fit = estimate(stats.select("g", "x"))
+
+    sizes = stats.groupBy("g").agg(F.count("*").alias("of")).select("g", limit(level, F.col("of")).alias("cutoff"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = stats.join(fit, "g").withColumn("distance", F.greatest(_distance(), F.lit(0.0)))
-    return far.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance") <= cutoff)).drop("g", "x", "mu", "p")
+    far = stats.join(fit.select("g", "mu", "p").join(sizes, "g"), "g", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
+    return far.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True)))).drop("g", "x", "mu", "p")
