@@ -14,21 +14,40 @@ from pyspark.sql import functions as F
 from ..functions.portable import draw
 
 SEED = 1
+#: Positions of a range that are looked at together.
+BLOCK = 4096
+
+
+def slots(cells: DataFrame) -> DataFrame:
+    """range_id, slot, n and others of the cells, dealt over all tasks: each row will become as many as there are resamples."""
+    sizes = cells.groupBy("range_id").agg(F.count("*").alias("n"))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.withColumnRenamed("idx", "slot").join(sizes, "range_id").repartition(parts, "range_id", "slot")
+
+
+def draws(cells: DataFrame, boots: int, seed: int = SEED, key: str = "range_id") -> DataFrame:
+    """``slots`` with boot_id and idx, the position that a slot's draw takes. key: the column that tells ranges apart in the hash."""
+    each = slots(cells).withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
+    return each.withColumn("idx", draw(seed, F.col(key), F.col("boot_id"), F.col("slot"), F.col("n")).cast("int"))
 
 
 def resample(cells: DataFrame, boots: int, seed: int = SEED) -> DataFrame:
     """range_id, boot_id, idx, cnt: n draws with replacement from each range of n cells, ``boots`` times."""
-    sizes = cells.groupBy("range_id").agg(F.count("*").alias("n"))
-    slots = cells.select("range_id", F.col("idx").alias("slot")).join(sizes, "range_id")
-    each = slots.withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
-    picked = each.withColumn("idx", draw(seed, F.col("range_id"), F.col("boot_id"), F.col("slot"), F.col("n")).cast("int"))
-    return picked.groupBy("range_id", "boot_id", "idx").agg(F.count("*").cast("int").alias("cnt"))
+    return draws(cells.select("range_id", "idx"), boots, seed).groupBy("range_id", "boot_id", "idx").agg(F.count("*").cast("int").alias("cnt"))
 
 
 def excluded(cells: DataFrame, samples: DataFrame, boots: int) -> DataFrame:
-    """range_id, idx, boot_id of positions that a resample leaves out."""
-    every = cells.select("range_id", "idx", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))).alias("boot_id"))
-    return every.join(samples.select("range_id", "idx", "boot_id"), ["range_id", "idx", "boot_id"], "left_anti")
+    """range_id, idx, boot_id of positions that a resample leaves out.
+
+    What a block of positions leaves out is its complement, so that only the drawn
+    positions are shuffled; an array has at most BLOCK of them.
+    """
+    sizes = cells.groupBy("range_id").agg(F.count("*").cast("int").alias("n"))
+    grid = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int")))).withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
+    drawn = samples.groupBy("range_id", "boot_id", F.floor(F.col("idx") / BLOCK).cast("int").alias("block")).agg(F.collect_set(F.col("idx").cast("int")).alias("drawn"))
+    every = F.sequence(F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1)
+    rest = F.array_except(every, F.coalesce("drawn", F.array().cast("array<int>")))
+    return grid.join(drawn, ["range_id", "boot_id", "block"], "left").select("range_id", F.explode(rest).alias("idx"), "boot_id")
 
 
 def included(samples: DataFrame, size: Column | None = None) -> DataFrame:

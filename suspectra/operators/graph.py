@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import formula
+from ..sources.staging import stage_table
 
-#: Levels of nesting after which a closure is given up as endless.
-DEPTH = 1000
+#: Rows of a block of a sheet: ranges meet cells by block.
+BLOCK = 1024
 
 
 @dataclass
@@ -33,6 +34,39 @@ def scan(cells: DataFrame) -> DataFrame:
     return cells.filter(F.col("raw").rlike("^=")).select(F.col("cell_id").alias("formula_id"), "worksheet", F.col("raw").alias("expr"))
 
 
+def covered(areas: DataFrame, cells: DataFrame) -> DataFrame:
+    """areas (worksheet, top, left, bottom, right and others) with each existing cell (cell_id, row, col) in them.
+
+    A range join by blocks of rows: a range of all rows of a sheet is a thousand rows, however many columns and cells it has.
+    """
+    at = lambda c: F.floor(c / BLOCK).cast("int")
+    blocks = areas.withColumn("block", F.explode(F.sequence(at(F.col("top")), at(F.col("bottom")))))
+    placed = cells.select("cell_id", "worksheet", "row", "col").withColumn("block", at(F.col("row")))
+    return blocks.join(placed, ["worksheet", "block"]).filter(F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right"))).drop("block")
+
+
+def peeled(nodes: DataFrame, needs: DataFrame) -> list[DataFrame]:
+    """Tables of node_id, level by level: each needs (node_id, src) lower ones only. Raises if some need each other in a loop."""
+    out = []
+    left = _peel(nodes, needs, out)
+    if left is not None:
+        raise ValueError("the formulas have a loop")
+    return out
+
+
+def _peel(nodes: DataFrame, needs: DataFrame, out: list[DataFrame] | None = None) -> DataFrame | None:
+    """Takes away nodes without needs, again and again; what is left, if anything: those on loops or behind them."""
+    nodes, needs = nodes.select("node_id"), needs.select("node_id", "src")
+    while True:
+        free = stage_table(nodes.join(needs.select("node_id").distinct(), "node_id", "left_anti"), "level")
+        if free.limit(1).count() == 0:
+            return nodes if nodes.limit(1).count() else None
+        if out is not None:
+            out.append(free)
+        nodes = stage_table(nodes.join(free, "node_id", "left_anti"), "nodes")
+        needs = stage_table(needs.join(free.withColumnRenamed("node_id", "src"), "src", "left_anti").select("node_id", "src"), "needs")
+
+
 def build(cells: DataFrame) -> Graph:
     formulas = scan(cells)
     found = formula.ranges(formulas)
@@ -40,9 +74,8 @@ def build(cells: DataFrame) -> Graph:
     # A vector's id is a hash of its corners: no global numbering.
     named = found.withColumn("range_id", F.xxhash64(*corner))
     vectors = named.select("range_id", *corner, (F.col("bottom") - F.col("top") + 1).alias("height"), (F.col("right") - F.col("left") + 1).alias("width")).distinct()
-    wide = vectors.withColumn("row", F.explode(F.sequence("top", "bottom"))).withColumn("col", F.explode(F.sequence("left", "right")))
-    placed = wide.withColumn("idx", ((F.col("row") - F.col("top")) * F.col("width") + F.col("col") - F.col("left")).cast("int"))
-    v2i = placed.join(cells.select("cell_id", "worksheet", "row", "col"), ["worksheet", "row", "col"]).select("range_id", "idx", "cell_id")
+    placed = covered(vectors, cells).withColumn("idx", ((F.col("row") - F.col("top")) * F.col("width") + F.col("col") - F.col("left")).cast("int"))
+    v2i = placed.select("range_id", "idx", "cell_id")
     f2i = formula.singles(formulas).join(cells.select("cell_id", "worksheet", "row", "col"), ["worksheet", "row", "col"]).select("formula_id", "cell_id").distinct()
     marked = v2i.join(formulas.select(F.col("formula_id").alias("cell_id"), F.lit(True).alias("f")), "cell_id", "left").groupBy("range_id").agg(F.max(F.col("f").isNull()).alias("perturbable"))
     vectors = vectors.join(marked, "range_id", "left").withColumn("perturbable", F.coalesce("perturbable", F.lit(False)))
@@ -76,18 +109,14 @@ def _is_formula(g: Graph) -> DataFrame:
 
 def leaf_paths(g: Graph) -> DataFrame:
     """formula_id, cell_id, paths: how many paths lead from a formula to a cell that isn't a formula."""
-    edges = inputs(g).persist()
-    level = edges.select("formula_id", "cell_id", F.lit(1).cast("long").alias("paths"))
-    done = level.join(_is_formula(g), "cell_id", "left_anti")
-    for _ in range(DEPTH):
-        inner = level.join(_is_formula(g), "cell_id", "left_semi")
-        down = edges.select(F.col("formula_id").alias("via"), F.col("cell_id").alias("next"))
-        level = inner.join(down, F.col("cell_id") == F.col("via")).groupBy("formula_id", F.col("next").alias("cell_id")).agg(F.sum("paths").alias("paths")).persist()
-        if level.limit(1).count() == 0:
-            edges.unpersist()
-            return done.groupBy("formula_id", "cell_id").agg(F.sum("paths").alias("paths"))
-        done = done.unionAll(level.join(_is_formula(g), "cell_id", "left_anti").select(*done.columns))
-    raise ValueError("the formulas have a loop")
+    edges = stage_table(inputs(g), "inputs")
+    inner = edges.join(_is_formula(g), "cell_id", "left_semi").select(F.col("formula_id").alias("node_id"), F.col("cell_id").alias("src"))
+    done = edges.join(_is_formula(g), "cell_id", "left_anti").select("formula_id", "cell_id", F.lit(1).cast("long").alias("paths"))
+    # From the lowest level up: the paths of a formula are those of its inputs.
+    for level in peeled(_is_formula(g).withColumnRenamed("cell_id", "node_id"), inner)[1:]:
+        steps = inner.join(level, "node_id", "left_semi").select(F.col("node_id").alias("upper"), F.col("src").alias("formula_id"))
+        done = done.unionAll(stage_table(steps.join(done, "formula_id").groupBy(F.col("upper").alias("formula_id"), "cell_id").agg(F.sum("paths").alias("paths")), "paths"))
+    return done.groupBy("formula_id", "cell_id").agg(F.sum("paths").alias("paths"))
 
 
 def leaf_cells(g: Graph) -> DataFrame:
@@ -100,27 +129,45 @@ def weights(g: Graph) -> DataFrame:
     return paths.groupBy(F.col("formula_id").alias("cell_id")).agg(F.sum("paths").alias("weight")).unionAll(paths.select("cell_id").distinct().select("cell_id", F.lit(1).cast("long").alias("weight")))
 
 
-def formula_closure(g: Graph) -> DataFrame:
+def _formula_needs(g: Graph) -> DataFrame:
+    return stage_table(inputs(g).join(_is_formula(g), "cell_id", "left_semi").select(F.col("formula_id").alias("node_id"), F.col("cell_id").alias("src")), "needs")
+
+
+def formula_closure(g: Graph, needs: DataFrame | None = None) -> DataFrame:
     """Distinct (formula_id, reaches): formulas that a formula depends on, at any depth."""
-    steps = inputs(g).join(_is_formula(g), "cell_id", "left_semi").select("formula_id", F.col("cell_id").alias("reaches")).persist()
+    steps = stage_table((_formula_needs(g) if needs is None else needs).select(F.col("node_id").alias("formula_id"), F.col("src").alias("reaches")), "closure")
     total, fresh = steps, steps
-    for _ in range(DEPTH):
+    while True:
         more = fresh.join(steps.select(F.col("formula_id").alias("reaches"), F.col("reaches").alias("next")), "reaches").select("formula_id", F.col("next").alias("reaches")).distinct()
-        fresh = more.join(total, ["formula_id", "reaches"], "left_anti").persist()
+        fresh = stage_table(more.join(total, ["formula_id", "reaches"], "left_anti"), "closure")
         if fresh.limit(1).count() == 0:
             return total
-        total = total.unionAll(fresh).persist()
-    raise ValueError(f"more than {DEPTH} levels of formulas")
+        total = total.unionAll(fresh)
+
+
+def _knot(g: Graph) -> DataFrame | None:
+    """The needs among formulas on loops, and on the ways between loops; None without any."""
+    needs = _formula_needs(g)
+    behind = _peel(_is_formula(g).withColumnRenamed("cell_id", "node_id"), needs)
+    if behind is None:
+        return None
+    # Peeled from the other end, too: formulas that none of the rest needs.
+    inner = needs.join(behind, "node_id", "left_semi").join(behind.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    rest = _peel(behind, inner.select(F.col("src").alias("node_id"), F.col("node_id").alias("src")))
+    return inner.join(rest, "node_id", "left_semi").join(rest.withColumnRenamed("node_id", "src"), "src", "left_semi").select("node_id", "src")
 
 
 def loops(g: Graph) -> DataFrame:
-    """formula_id, in_loop: whether a formula depends on itself."""
-    own = formula_closure(g).filter(F.col("formula_id") == F.col("reaches")).select("formula_id", F.lit(True).alias("in_loop"))
+    """formula_id, in_loop: whether a formula depends on itself. The closure is of the knots only."""
+    knot = _knot(g)
+    if knot is None:
+        return g.formulas.select("formula_id", F.lit(False).alias("in_loop"))
+    own = formula_closure(g, knot).filter(F.col("formula_id") == F.col("reaches")).select("formula_id", F.lit(True).alias("in_loop"))
     return g.formulas.select("formula_id").join(own, "formula_id", "left").withColumn("in_loop", F.coalesce("in_loop", F.lit(False)))
 
 
 def contains_loop(g: Graph) -> bool:
-    return loops(g).filter("in_loop").limit(1).count() > 0
+    return _peel(_is_formula(g).withColumnRenamed("cell_id", "node_id"), _formula_needs(g)) is not None
 
 
 def dot(g: Graph) -> DataFrame:
