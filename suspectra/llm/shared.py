@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import exists, new_folder, shared_dir, stage_table
+
+__all__ = ["exists", "new_folder", "read_table", "shared_dir", "sized", "stage_table", "text_or_empty"]
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="suspectra-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation. The
-    table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/suspectra/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+def sized(side: DataFrame, rows: int) -> DataFrame:
+    """A join's side with a hint: broadcast if it is counted to have at most so many rows, else a shuffled hash join."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side.hint("shuffle_hash")
 
 
 def text_or_empty(col: str = "text"):
