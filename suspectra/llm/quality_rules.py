@@ -55,6 +55,8 @@ LEVEL, TRIM = 1e-9, 0.025
 STARTS, EARLY, STEPS = 4, 2, 4
 SUBSET = 3 * (D + 1)
 BINS = 16
+#: Parts that a group's rows are dealt over when they meet the group's estimate.
+SALT = 16
 MIN_GROUP = 10 * D
 LEAST = 5 * D
 PAIRS = list(combinations_with_replacement(range(D), 2))
@@ -188,7 +190,19 @@ def _grouped(stats: DataFrame, least: int) -> DataFrame:
         F.col("lang").alias("lang2"), F.col("source").alias("source2"), F.when(F.col("n") >= least, name("lang", "source")).when(F.col("m") >= least, name("lang")).otherwise("{}").alias("g")
     )
     named = stage_table(named, "groups")
-    return stats.join(named, stats["lang"].eqNullSafe(named["lang2"]) & stats["source"].eqNullSafe(named["source2"])).drop("lang2", "source2")
+    salted, dealt = _salted(stats, named)
+    return salted.join(dealt, salted["lang"].eqNullSafe(dealt["lang2"]) & salted["source"].eqNullSafe(dealt["source2"]) & (salted["salt"] == dealt["salt2"])).drop("lang2", "source2", "salt", "salt2")
+
+
+def _salted(stats: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """stats with ``salt``, and a small table repeated for each salt (salt2): a group with most of the rows is SALT keys."""
+    return stats.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALT)).cast("int")), few.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def _with(stats: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """stats joined with what a small table says of their group."""
+    salted, dealt = _salted(stats, few.withColumnRenamed("g", "g2"))
+    return salted.join(dealt, (F.col("g") == F.col("g2")) & (F.col("salt") == F.col("salt2")), how).drop("g2", "salt", "salt2")
 
 
 def _distance() -> F.Column:
@@ -255,16 +269,16 @@ def estimate(stats: DataFrame) -> DataFrame:
     # Random starts: about SUBSET rows each, by a hash of the vector.
     step = F.greatest(F.floor(F.col("of") / SUBSET), F.lit(1))
     tickets = F.array(*[F.when(F.pmod(F.xxhash64("x", F.lit(s)), step) == 0, F.lit(s)) for s in range(1, STARTS)])
-    drawn = stats.join(sizes.select("g", "of"), "g").withColumn("start", F.explode(F.array_compact(tickets)))
+    drawn = _with(stats, sizes.select("g", "of")).withColumn("start", F.explode(F.array_compact(tickets)))
     others = drawn.groupBy("g", "start").agg(*_moments()).groupBy("g", "start").applyInPandas(_started, FIT)
     fit = stage_table(first.unionByName(others), "starts")
     for k in range(EARLY + STEPS):
-        near = stats.join(fit, "g").withColumn("bin", F.floor(BINS * F.log2(1 + _distance())).cast("int"))
+        near = _with(stats, fit).withColumn("bin", F.floor(BINS * F.log2(1 + _distance())).cast("int"))
         fit = stage_table(near.groupBy("g", "start", "bin").agg(*_moments()).groupBy("g", "start").applyInPandas(concentrated, FIT), "fit")
         if k == EARLY - 1:
             best = fit.groupBy("g").agg(F.min_by("start", F.struct("size", "start")).alias("start"))
             fit = stage_table(fit.join(best, ["g", "start"]).select(*fit.columns), "best")
-    core = stats.join(fit, "g").filter(_distance() <= quantile(1 - TRIM, D))
+    core = _with(stats, fit).filter(_distance() <= quantile(1 - TRIM, D))
     return stage_table(core.groupBy("g", "start").agg(*_moments()).groupBy("g", "start").applyInPandas(_trimmed, FIT), "fit")
 
 
@@ -275,5 +289,5 @@ def judge(docs: DataFrame, level: float = LEVEL, least: int = MIN_GROUP) -> Data
 
     sizes = stats.groupBy("g").agg(F.count("*").alias("of")).select("g", limit(level, F.col("of")).alias("cutoff"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = stats.join(fit.select("g", "mu", "p").join(sizes, "g"), "g", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
+    far = _with(stats, fit.select("g", "mu", "p").join(sizes, "g"), "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
     return far.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True)))).drop("g", "x", "mu", "p")
