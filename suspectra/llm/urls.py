@@ -1,13 +1,15 @@
 """URL filters: hashed host-suffix and path-prefix expressions.
 
 Each URL expands into (host suffix + path prefix) expressions, no more labels or
-levels than the rules have. Expressions meet rules on short prefixes of their
-SHA-256; full digests confirm; the longest rule wins. DataFrame functions only.
+levels than the rules have, and into its host's words. Expressions meet rules on short
+prefixes of their SHA-256; full digests confirm; the longest rule wins. Rules on a word
+of a host, as ``~word``, are the method's own: they settle what no other rule fits.
+DataFrame functions only.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and no
 rule; null and repeated page ids keep their own rows; equal rules count once, and
-of rules with one host and path that disagree, block wins; other columns are kept;
-very long URLs expand no further than the rules reach.
+of rules with one host and path that disagree, block wins; other columns are kept,
+clashing ones replaced; very long URLs expand no further than the rules reach.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Words of a host's labels that the method itself blocks where no rule fits.
+#: Words of a host's labels that the method itself blocks where no rule fits; further ones are rows of the table of rules.
 BAD_WORDS = ("spam", "casino", "pills", "porn", "xxx", "viagra", "betting", "warez", "phishing", "malware")
 PREFIX = 8
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([(v, r) for v, r in rules], "verdict string, rule string")
+def rule_table(spark: SparkSession, rules=RULES, words=BAD_WORDS) -> DataFrame:
+    """verdict and rule: expressions, and words of hosts as ``~word``."""
+    return spark.createDataFrame([(v, r) for v, r in rules] + [("block", f"~{w}") for w in words], "verdict string, rule string")
 
 
 def prepared(rules: DataFrame) -> DataFrame:
@@ -57,18 +60,22 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """pages' columns (clashing ones replaced) with host, path, rule and verdict."""
     table = prepared(rules)
     # The rules' own reach: a few numbers, whatever their count. Rules without a closing slash need prefixes of their lengths.
-    reach = table.agg(F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(F.size(F.split("rule_path", "/")) - 1).alias("levels"), F.array_sort(F.collect_set(F.when(~F.col("rule_path").endswith("/"), F.char_length("rule_path")))).alias("lengths")).first()
+    own = ~F.col("rule").startswith("~")
+    reach = table.filter(own).agg(F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(F.size(F.split("rule_path", "/")) - 1).alias("levels"), F.array_sort(F.collect_set(F.when(~F.col("rule_path").endswith("/"), F.char_length("rule_path")))).alias("lengths")).first()
     host, path = parts(F.col(url))
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict") and not c.startswith("__")]
-    base = pages.select(*keep).withColumn("__row", F.monotonically_increasing_id()).withColumn("host", host).withColumn("path", path)
-    wide = base.withColumn("__x", F.explode_outer(expressions(F.col("host"), F.col("path"), reach["labels"] or 0, list(reach["lengths"] or []), reach["levels"] or 0)))
-    hashed = wide.withColumn("__full", F.sha2(F.col("__x"), 256)).withColumn("__short", F.substring("__full", 1, PREFIX)).drop("__x")
-    met = hashed.join(table.select(F.col("short").alias("__rshort"), F.col("full").alias("__rfull"), F.struct(F.char_length("rule").alias("n"), F.col("verdict").alias("v"), F.col("rule").alias("r")).alias("__hit")), F.col("__short") == F.col("__rshort"), "left")
-    best = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in [*keep, "host", "path"]], F.max(F.when(F.col("__full") == F.col("__rfull"), F.col("__hit"))).alias("__hit"))
-    bad = F.lit(default)
-    if BAD_WORDS:
-        bad = F.when(F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in BAD_WORDS])), F.lit("block")).otherwise(F.lit(default))
-    return best.select(*keep, "host", "path", F.col("__hit.r").alias("rule"), F.coalesce(F.col("__hit.v"), bad).alias("verdict"))
+    ours = ("host", "path", "rule", "verdict")
+    keep = [c for c in pages.columns if c not in ours]
+    # Columns of pages travel as one struct, so that no name of theirs meets one of the steps'.
+    base = pages.select(F.struct(*keep).alias("page"), F.monotonically_increasing_id().alias("row"), host.alias("host"), path.alias("path"))
+    words = F.transform(F.array_distinct(F.split("host", "[.-]")), lambda w: F.concat(F.lit("~"), w))
+    each = F.concat(expressions(F.col("host"), F.col("path"), reach["labels"] or 0, list(reach["lengths"] or []), reach["levels"] or 0), words)
+    wide = base.select("page", "row", "host", "path", F.posexplode_outer(each).alias("pos", "x")).withColumn("full", F.sha2(F.col("x"), 256)).withColumn("short", F.substring("full", 1, PREFIX)).drop("x")
+    hits = F.struct(own.alias("own"), F.char_length("rule").alias("n"), F.col("verdict").alias("v"), F.col("rule").alias("r"))
+    met = wide.join(table.select(F.col("short").alias("rule_short"), F.col("full").alias("rule_full"), hits.alias("hit")), F.col("short") == F.col("rule_short"), "left")
+    # What met nothing stops here; each page's first expression carries it on.
+    met = met.withColumn("hit", F.when(F.col("full") == F.col("rule_full"), F.col("hit"))).filter(F.col("hit").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
+    best = met.groupBy("row").agg(*[F.first(c).alias(c) for c in ("page", "host", "path")], F.max("hit").alias("hit"))
+    return best.select("page.*", "host", "path", F.when(F.col("hit.own"), F.col("hit.r")).alias("rule"), F.coalesce("hit.v", F.lit(default)).alias("verdict"))
 
 
 def sql() -> str:
