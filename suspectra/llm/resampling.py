@@ -1,17 +1,20 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram models, one of target texts (labelled good) and one of all raw
-texts, give each document the mean log ratio of its n-grams. The weights times
-SHARPNESS, plus Gumbel noise from a hash of the id, rank all documents; the top k
-are a sample without replacement in proportion to the importance. k is the number
-of documents whose ratio reaches the level that separates labelled good from bad
-rows best. The raw model counts all documents, the target model the good ones of a
-bounded sample of labelled rows; only sums by bucket are gathered.
+texts, give each document the mean log ratio of its n-grams. Its temperature is
+fitted: a logistic regression of the labels on the ratio gives the probability that a
+document is of the target, and that is its importance, the target's density over the
+raw one's up to a constant. The logarithm plus Gumbel noise from a hash of the id and
+the seed ranks all documents; the top k are a sample without replacement in proportion
+to the importance. k is a parameter; by default it is the sum of all importances, the
+expected number of target documents. The raw model counts all documents, the target
+model the good ones of a bounded sample of labelled rows; only sums by bucket are
+gathered.
 
 Defined cases: a null or very short text has no n-grams and ratio 0; null and
-repeated ids keep their rows (noise from the id and the text's length, so equal
-rows share their fate); without labels of both kinds every document is kept; an
-empty table gives an empty result; other columns are kept by ``sample``.
+repeated ids keep their rows (noise from the id, so equal rows share their fate); of
+equal weights at rank k all stay; without labels of both kinds every document is kept;
+an empty table gives an empty result; other columns are kept by ``sample``.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ BUCKETS = 1 << BITS
 GRAM = 4
 #: Added to each bucket of the target model, in units of its mean share.
 SMOOTHING = 0.02
-SHARPNESS = 100.0
+#: Penalty on the slope of the logistic regression, for a ratio in units of its standard deviation: separable labels have no finite one.
+RIDGE = 0.001
 SEED = 7
-#: Labelled rows that make the target model and set the level: a bounded sample, the smallest by hash of the id.
+#: Labelled rows that make the target model and fit the temperature: a bounded sample, the smallest by hash of the id.
 LABELLED = 20_000
 U64 = np.uint64
 _CLASS = np.zeros(256, np.uint8)
@@ -135,20 +139,25 @@ def weigh(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def level(good: np.ndarray, bad: np.ndarray) -> float | None:
-    """The ratio that separates labelled good from bad rows best; midway in the gap there."""
-    if not len(good) or not len(bad):
+def temperature(ratio: np.ndarray, good: np.ndarray, steps: int = 50) -> tuple[float, float] | None:
+    """(a, b): a document of that ratio is good with probability 1 / (1 + exp(-a - b * ratio)). Newton's method with a ridge on b."""
+    if not len(good) or good.min() == good.max():
         return None
-    values = np.unique(np.concatenate([good, bad]))
-    cuts = (values[1:] + values[:-1]) / 2 if len(values) > 1 else values
-    kept = 1 - np.searchsorted(np.sort(good), cuts) / len(good)
-    gone = np.searchsorted(np.sort(bad), cuts) / len(bad)
-    return float(cuts[int(np.argmax(kept + gone))])
-
-
-def noise(doc_id: Column) -> Column:
-    """Standard Gumbel noise from a hash of the id."""
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
+    scale = max(float(ratio.std()), 1e-9)
+    x = np.stack([np.ones(len(ratio)), ratio / scale], axis=1)
+    w, ridge = np.zeros(2), np.diag([1e-6, RIDGE])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (good - p) - ridge @ w)
+        w = w + move * min(1.0, 4 / max(float(np.abs(move).max()), 1e-12))
+        if np.abs(move).max() < 1e-10:
+            break
+    return float(w[0]), max(float(w[1]) / scale, 0.0)
+
+
+def noise(doc_id: Column, seed: Column | int = SEED) -> Column:
+    """Standard Gumbel noise from a hash of the id and the seed."""
+    u = (F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), seed if isinstance(seed, Column) else F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
@@ -181,8 +190,8 @@ def top_k(keyed: DataFrame, key: str, k: int) -> tuple[float, bool]:
             above += r["n"]
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """docs' columns but the text, with ratio, weight (ratio * SHARPNESS plus noise) and kept.
+def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, bound: int = LABELLED) -> DataFrame:
+    """docs' columns but the text, with ratio, weight (log importance plus noise) and kept.
 
     labels: doc_id and quality (1 good, 0 bad). Repeated labels of an id count as good if any is.
     """
@@ -190,11 +199,15 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFra
     # At most ``bound`` labelled ids, so that they can be broadcast: texts are never shuffled.
     few = F.broadcast(stage_table(marks.orderBy(F.xxhash64("__id"), "__id").limit(bound), "labelled"))
     total = counts(docs.join(few, docs["doc_id"] == few["__id"], "left"), F.col("__quality") == 1)
-    scored = stage_table(weigh(docs, log_ratio(total)).withColumn("weight", F.col("ratio") * SHARPNESS + noise(F.col("doc_id"))), "weights")
-    seen = scored.join(few, scored["doc_id"] == few["__id"]).groupBy("__id", "__quality").agg(F.max("ratio").alias("ratio")).toPandas()
-    at = level(seen.loc[seen["__quality"] == 1, "ratio"].to_numpy(), seen.loc[seen["__quality"] != 1, "ratio"].to_numpy())
-    if at is None:
-        return scored.withColumn("kept", F.lit(True))
-    k = scored.filter(F.col("ratio") >= at).count()
-    least, _ = top_k(scored, "weight", k)
-    return scored.withColumn("kept", F.col("weight") >= least)
+    scored = stage_table(weigh(docs, log_ratio(total)), "ratios")
+    seen = scored.join(few, scored["doc_id"] == few["__id"]).groupBy("__id", "__quality").agg(F.max("ratio").alias("ratio")).orderBy("__id").toPandas()
+    fit = temperature(seen["ratio"].to_numpy(float), (seen["__quality"] == 1).to_numpy(float))
+    if fit is None:
+        return scored.withColumn("weight", noise(F.col("doc_id"), seed)).withColumn("kept", F.lit(True))
+    logit = fit[0] + fit[1] * F.col("ratio")
+    # log(1 / (1 + exp(-z))), without overflow on either side.
+    importance = F.least(logit, F.lit(0.0)) - F.log1p(F.exp(-F.abs(logit)))
+    size = k if k is not None else round(scored.agg(F.coalesce(F.sum(F.exp(importance)), F.lit(0.0))).first()[0])
+    weighed = scored.withColumn("weight", importance + noise(F.col("doc_id"), seed))
+    least, _ = top_k(weighed, "weight", size)
+    return weighed.withColumn("kept", F.col("weight") >= least)
