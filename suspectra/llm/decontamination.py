@@ -5,13 +5,17 @@ of that size of every text is a candidate if at least LEAST of its shingles belo
 to items of that size; fewer cannot reach the similarity, so this gate loses
 nothing, and it spares fingerprints of windows that cannot match. Candidate windows
 get 128-bit SimHash fingerprints of their weighted shingles (weight: number of
-occurrences) and meet items of their size on 32 blocks of four bits: within RADIUS
-(31) of an item, at least one block is equal. Pairs in the radius are verified by
-the exact weighted similarity, the sum of minima over the sum of maxima of the
-shingles' counts.
+occurrences) and meet items of their size in a multi-index of blocks: fingerprints
+within RADIUS of one another are within REACH of one another in at least one block,
+as the reaches add up to RADIUS - BLOCKS + 1. Items are listed under every block
+value within its reach, windows under their own values only, so that what grows with
+the corpus is BLOCKS rows a window. An unrelated window of an item's size meets it
+with a probability of about 3 %. Pairs in the radius are verified by the exact
+weighted similarity, the sum of minima over the sum of maxima of the shingles' counts.
 
 The gate is a bitmap of bounded size over the items' shingles, so the broadcast
-doesn't grow with the benchmark. Equal windows of many documents are verified once.
+doesn't grow with the benchmark. Equal windows of many documents are verified once,
+and what is sure of them is spread over SALT parts before it meets the documents.
 
 Defined cases: texts and items with fewer words than a shingle are one shingle
 each, and such an item is met only by a text that is equal to it; null and empty
@@ -23,6 +27,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,11 @@ from .shared import stage_table
 
 SHINGLE = 5
 LEAST = 0.8
-BLOCKS = 32
-RADIUS = BLOCKS - 1
+RADIUS = 28
+#: Bits of each block, and how many of them may differ there.
+WIDTHS, REACH = (19, 19, 18, 18, 18, 18, 18), (4, 3, 3, 3, 3, 3, 3)
+BLOCKS = len(WIDTHS)
+SALT = 16
 GATE_BITS = 27
 U64 = np.uint64
 _SHIFTS = np.arange(64, dtype=U64)
@@ -54,6 +62,47 @@ def fingerprints(window: np.ndarray) -> np.ndarray:
     return out
 
 
+def block_values(prints: np.ndarray) -> np.ndarray:
+    """The blocks of fingerprints (rows of two 64-bit halves), one column each."""
+    low, high = prints[:, 0].astype(U64), prints[:, 1].astype(U64)
+    out, at = np.empty((len(prints), BLOCKS), np.int64), 0
+    for k, width in enumerate(WIDTHS):
+        if at >= 64:
+            value = high >> U64(at - 64)
+        elif at + width <= 64:
+            value = low >> U64(at)
+        else:
+            value = (low >> U64(at)) | (high << U64(64 - at))
+        out[:, k] = (value & U64((1 << width) - 1)).astype(np.int64)
+        at += width
+    return out
+
+
+def _masks(width: int, reach: int) -> np.ndarray:
+    return np.array([sum(1 << j for j in bits) for n in range(reach + 1) for bits in combinations(range(width), n)], np.int64)
+
+
+def keyed(prints: DataFrame, around: bool) -> DataFrame:
+    """prints (size, f1, f2 and others) with ``key``, a row for each block; for each value within its reach, if ``around``."""
+    names = prints.columns
+    schema = prints.select("*", F.lit(0).cast("long").alias("key")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [_masks(w, r) if around else np.zeros(1, np.int64) for w, r in zip(WIDTHS, REACH, strict=True)]
+        for whole in batches:
+            for first in range(0, len(whole), 64 if around else 16384):
+                batch = whole.slice(first, 64 if around else 16384)
+                f = np.stack([batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("f1", "f2")], axis=1).view(U64)
+                size = batch.column(names.index("size")).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = block_values(f)
+                for k in range(BLOCKS):
+                    key = (((size << 3) | k) << max(WIDTHS))[:, None] | (values[:, k, None] ^ masks[k][None, :])
+                    rows = pa.array(np.repeat(np.arange(len(batch)), len(masks[k])))
+                    yield pa.RecordBatch.from_arrays([*batch.take(rows).columns, pa.array(key.ravel())], [*names, "key"])
+
+    return prints.mapInArrow(run, schema)
+
+
 def _sized(found: np.ndarray, size: int) -> np.ndarray:
     return tk.mix64(found + U64(size * 0x9E3779B97F4A7C15 % (1 << 64)))
 
@@ -173,27 +222,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bits: int = GATE_BITS) ->
     flat = stage_table(table.select("size", F.explode("shingles").alias("s")).distinct(), "shingles")
     any_gate = bitmap.build(flat.select("s"), bits)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column(0).to_numpy(zero_copy_only=False).astype(U64)
             s = batch.column(1).to_numpy(zero_copy_only=False).view(U64)
             yield pa.RecordBatch.from_arrays([pa.array(tk.mix64(s + size * U64(0x9E3779B97F4A7C15)).view(np.int64))], ["k"])
 
-    sized_gate = bitmap.build(flat.mapInArrow(keyed, "k long"), bits)
+    sized_gate = bitmap.build(flat.mapInArrow(of_size, "k long"), bits)
     found = stage_table(windows(docs, sizes, any_gate, sized_gate, bits), "windows")
     single = found.groupBy("size", "content", "f1", "f2").agg(F.first("shingles").alias("wa"))
-    block = lambda df: df.withColumn("block", F.explode(F.array(*[_block(k) for k in range(BLOCKS)])))
-    windowed = block(single.select("size", "content", "f1", "f2"))
-    listed = block(table.select("item_id", "size", "f1", "f2")).withColumnsRenamed({"f1": "g1", "f2": "g2"})
-    apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    near = windowed.join(listed, ["size", "block"]).filter(apart <= RADIUS).select("size", "content", "f1", "f2", "item_id").distinct()
+    near = candidates_of(single, table).filter(distance() <= RADIUS).select("size", "content", "f1", "f2", "item_id").distinct()
     pairs = near.join(single, ["size", "content", "f1", "f2"]).join(table.select(F.col("item_id"), F.col("size"), F.col("shingles").alias("wb")), ["item_id", "size"])
     sure = pairs.select("size", "content", "f1", "f2", "item_id", "wa", "wb").mapInArrow(_verify, "size int, content long, f1 long, f2 long, item_id long, similarity double")
-    matched = found.select("doc_id", "size", "content", "f1", "f2").join(sure, ["size", "content", "f1", "f2"])
+    # A passage that many documents have in common is one window: its matches go to SALT parts.
+    spread = sure.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    matched = found.select("doc_id", "size", "content", "f1", "f2").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(spread, ["size", "content", "f1", "f2", "salt"])
     return matched.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
-def _block(k: int) -> F.Column:
-    """Block number and four bits of the fingerprint, as one key."""
-    word, shift = ("f1", 4 * k) if k < BLOCKS // 2 else ("f2", 4 * (k - BLOCKS // 2))
-    return (F.shiftrightunsigned(F.col(word), shift).bitwiseAND(F.lit(15)) + F.lit(16 * k)).cast("int")
+def candidates_of(single: DataFrame, table: DataFrame) -> DataFrame:
+    """Windows (size, content, f1, f2) with the items (item_id, g1, g2) of their size that they meet in a block; a pair may come more than once."""
+    listed = keyed(table.select("size", "f1", "f2", "item_id"), True).withColumnsRenamed({"f1": "g1", "f2": "g2", "size": "item_size"})
+    return keyed(single.select("size", "content", "f1", "f2"), False).join(listed, "key").drop("key", "item_size")
+
+
+def distance() -> F.Column:
+    """Bits in which a window's and an item's fingerprint differ."""
+    return F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
