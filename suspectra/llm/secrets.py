@@ -166,7 +166,7 @@ class Ledger:
         texts = _addressed(versions, path, text)
         paths = stage_table(texts.drop("text"), "paths")
         seen = self.read().groupBy("blob").agg(F.flatten(F.collect_list("done")).alias("done")) if self.begun() else None
-        todo = sized(stage_table(_todo(paths, seen, rules), "todo"), FEW)
+        todo = stage_table(_todo(paths, seen, rules), "todo").hint("shuffle_hash")
         _scanned(texts, todo, rules).write.mode("append").parquet(self.folder)
         return paths
 
@@ -191,7 +191,7 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger:
         kinds = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("rank"), x["end"].alias("end"), F.col("rule").alias("kind")))
         old = ledger.select("blob", F.array(F.struct("rule", "version")).alias("done"), kinds.cast(SPANS).alias("spans"))
         seen = old.groupBy("blob").agg(F.flatten(F.collect_list("done")).alias("done"))
-    todo = sized(stage_table(_todo(paths, seen, rules), "todo"), FEW)
+    todo = stage_table(_todo(paths, seen, rules), "todo").hint("shuffle_hash")
     fresh = stage_table(_scanned(texts, todo, rules), "scanned")
     book = fresh if old is None else fresh.unionByName(old)
     of = lambda d: F.transform(F.filter("spans", lambda x: x["kind"] == d["rule"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
