@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step keeps connectivity and moves edges towards the smallest member; steps
-end when all components are stars. Everything stays in tables; hubs are joined, not
-gathered.
+end when all components are stars. Everything stays in tables; a hub's edges are dealt
+over several tasks when they meet its smallest neighbour.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage_table
+from .shared import spread_join, stage_table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,21 +18,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select("b", "a")) if large else edges
     low = both.groupBy("a").agg(F.min("b").alias("m"))
     if large:
-        moved = both.filter(F.col("b") > F.col("a")).join(low.withColumn("m", F.least("m", "a")), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = spread_join(both.filter(F.col("b") > F.col("a")), low.withColumn("m", F.least("m", "a")), ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        moved = both.join(low, "a").filter(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
+        moved = spread_join(both, low, ["a"], "b").filter(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
     moved = moved.filter(F.col("a") != F.col("b"))
     return moved if large else moved.distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (a, b) that isn't its component's smallest."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges (a, b) that isn't its component's smallest. Each step moves an edge to a smaller node, so it ends."""
     state = stage_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct(), "edges")
-    for _ in range(most):
+    while not _settled(state):
         state = stage_table(_star(_star(state, True), False), "star")
-        if _settled(state):
-            return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError(f"components did not settle in {most} steps")
+    return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -11,6 +11,10 @@ compared with all its documents and with one another, in blocks within tasks, on
 full sets. So no pair that shares a bucket and matters for components is lost, and a
 group of near copies costs a few comparisons each, not a row for each pair.
 
+Band keys that one document has alone are dropped by a bitmap before rows are joined.
+What many rows meet (a pivot's sketch and text, a crowded bucket's facts) is repeated
+for a few parts, and those rows are dealt over them.
+
 With 40 bands of five, a pair at similarity 0.8 is missed with probability 1.3e-7.
 
 Defined cases: a text without words has an empty set and no links; a null id is
@@ -30,13 +34,15 @@ from pyspark.sql import functions as F
 
 from . import bitmap, textkernel as tk
 from .components import components
-from .shared import stage_table
+from .shared import spread_join, stage_table
 
 BANDS, ROWS, MANTISSA = 40, 5, 6
 REGISTERS, WIDTH = BANDS * ROWS, 6 + MANTISSA
 MARGIN = 0.2
 ROUNDS = 1
 BLOCK = 500
+#: Parts that a pivot's pairs are dealt over.
+PARTS = 32
 #: Bits of the gate that keeps texts without any candidate out of the verification's shuffle: 16 MB at most.
 GATE_BITS = 27
 U64 = np.uint64
@@ -98,11 +104,29 @@ def estimate(x: Column, y: Column, n: Column, m: Column) -> Column:
 def similar(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("keys").alias(f"k{c}"))
-    near = pairs.join(side("b"), "b").join(side("a"), "a")
+    near = _with_pivots(pairs.join(side("b"), "b"), side("a"))
     fits = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
     return near.filter(fits & (estimate(F.col("ka"), F.col("kb"), F.col("na"), F.col("nb")) >= least - MARGIN)).select("a", "b")
 
 
+def _with_pivots(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """pairs (a, b and others) with what ``side`` says of a, repeated only for the parts that a's rows are in."""
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int"))
+    return dealt.join(dealt.select("a", "part").distinct().join(side, "a"), ["a", "part"]).drop("part")
+
+
+def _shared(bands: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The rows of bands whose key is a bucket's, and a few others."""
+    mark = F.xxhash64("band", "key").alias("mark")
+    gate = bands.sparkSession.sparkContext.broadcast(bitmap.build(buckets.select(mark), GATE_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.contains(gate.value, GATE_BITS, batch.column(3).to_numpy(zero_copy_only=False)))).select(["doc_id", "band", "key"])
+
+    return bands.select("doc_id", "band", "key", mark).mapInArrow(run, "doc_id long, band int, key long")
+
+
 def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of all documents in ``ids`` (and a few others): others are not worth a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.build(ids, GATE_BITS))
@@ -133,7 +157,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))).select(["a", "b"])
 
     texts = _needed(docs, pairs.select("a").unionAll(pairs.select("b")))
-    wide = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
+    wide = _with_pivots(pairs, texts.withColumnsRenamed({"doc_id": "a", "text": "ta"})).join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
     return wide.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
@@ -152,14 +176,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = stage_table(able.join(classes, same).select("doc_id", "n_shingles", "keys"), "reps")
     bands = stage_table(reps.select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
     buckets = stage_table(bands.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter(F.col("n") > 1), "buckets")
-    tested = stage_table(bands.join(buckets, ["band", "key"]).filter(F.col("doc_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    bands = stage_table(_shared(bands, buckets), "shared")
+    tested = stage_table(spread_join(bands, buckets, ["band", "key"], "doc_id").filter(F.col("doc_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
 
     def links(pairs: DataFrame) -> DataFrame:
         return stage_table(verified(stage_table(similar(pairs, reps, least), "able"), docs, size, percent), "links")
 
     edges = links(tested)
     roots = components(edges)
-    crowded = bands.join(buckets.filter(F.col("n") > 2).select("band", "key"), ["band", "key"])
+    crowded = spread_join(bands, buckets.filter(F.col("n") > 2).select("band", "key"), ["band", "key"], "doc_id")
     for turn in range(ROUNDS):
         # All buckets of two were compared in full at first.
         inside = _mixed(crowded, roots, turn)
@@ -182,7 +207,7 @@ def _mixed(crowded: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     lot = F.xxhash64("doc_id", F.lit(turn))
     sizes = members.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.min(lot).alias("lot"))
     mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("comps"), F.max_by("comp", "n").alias("major"), F.max_by("lot", "n").alias("lot")).filter(F.col("comps") > 1).drop("comps")
-    pivots = members.join(mixed, ["band", "key"]).withColumn("chosen", (F.col("comp") == F.col("major")) & (lot == F.col("lot")))
+    pivots = spread_join(members, mixed, ["band", "key"], "doc_id").withColumn("chosen", (F.col("comp") == F.col("major")) & (lot == F.col("lot")))
     return stage_table(pivots.drop("lot"), "mixed")
 
 
@@ -190,7 +215,7 @@ def _pivot_pairs(inside: DataFrame) -> DataFrame:
     """Members outside their bucket's largest component with its chosen member."""
     chosen = inside.filter("chosen").select("band", "key", F.col("doc_id").alias("x"))
     others = inside.filter(F.col("comp") != F.col("major")).select("band", "key", F.col("doc_id").alias("y"))
-    return others.join(chosen, ["band", "key"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return spread_join(others, chosen, ["band", "key"], "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _block_links(inside: DataFrame, roots: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
