@@ -7,7 +7,8 @@ sources until the total budget is spent. DataFrame functions only.
 
 No window spans a source: cumulative sums run within hash ranges of about
 ``BLOCK`` rows (the square root of a source's rows, where that is more) and start from the sums of the ranges before, so a source with a
-third of all rows is spread like the others. The same holds for the global order.
+third of all rows is spread like the others. The same holds for the global order. Null
+ids have one hash, so their rows are cut into ranges by size.
 
 Defined cases: a null text has 0 words and is never taken; a null source is a
 source, weighed last; null and repeated ids keep their own rows (equal rows are
@@ -17,6 +18,7 @@ clashing ones replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,19 +57,25 @@ def _hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
+def _within(doc_id: Column, size: Column, h: Column) -> Column:
+    """A range's part, in the order of hash, id and size: before, by size among, and behind the rows with a null id."""
+    at = int(hashlib.md5(f"{SEED}:".encode()).hexdigest()[:15], 16)
+    return F.when(doc_id.isNull(), size + 1).when(h < at, F.lit(0)).otherwise(F.lit(1 << 62)).cast("long")
+
+
 def mix(docs: DataFrame, repeats: int = REPEATS, budget: int | None = None) -> DataFrame:
     """docs' columns but the text, with size, source_size, target, taken (words, repeats counted)."""
-    keep = [c for c in docs.columns if c not in ("text", "size", "source_size", "target", "taken", "rank")]
+    keep = [c for c in docs.columns if c not in ("text", "size", "source_size", "target", "taken")]
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
     sized = stage_table(docs.select(*keep, size.alias("size")).withColumn("__h", _hash(F.col("doc_id"))), "mix")
     per = stage_table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n")), budget, repeats), "targets")
     # Hash ranges of a source: as many as hold BLOCK rows each. Ranges are few, so their running sums are cheap.
     known = per.select(F.col("source").alias("__s"), "source_size", "target", F.ceil(F.col("__n") / F.greatest(F.lit(float(BLOCK)), F.sqrt("__n"))).cast("long").alias("__k"))
-    placed = sized.join(known, sized["source"].eqNullSafe(known["__s"])).drop("__s").withColumn("__r", F.floor(F.col("__h") / F.lit(float(1 << 60)) * F.col("__k")).cast("long"))
-    sums = placed.groupBy(F.col("source").alias("__s"), F.col("__r").alias("__r2")).agg(F.sum("size").alias("__sum"))
-    starts = sums.withColumn("__from", F.sum("__sum").over(Window.partitionBy("__s").orderBy("__r2")) - F.col("__sum")).drop("__sum")
-    inner = Window.partitionBy("source", "__r").orderBy("__h", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = placed.join(starts, placed["source"].eqNullSafe(starts["__s"]) & (F.col("__r") == F.col("__r2"))).drop("__s", "__r2").withColumn("__cum", F.sum("size").over(inner) + F.col("__from"))
+    placed = sized.join(known, sized["source"].eqNullSafe(known["__s"])).drop("__s").withColumn("__r", F.floor(F.col("__h") / F.lit(float(1 << 60)) * F.col("__k")).cast("long")).withColumn("__in", _within(F.col("doc_id"), F.col("size"), F.col("__h")))
+    sums = placed.groupBy(F.col("source").alias("__s"), F.col("__r").alias("__r2"), F.col("__in").alias("__in2")).agg(F.sum("size").alias("__sum"))
+    starts = sums.withColumn("__from", F.sum("__sum").over(Window.partitionBy("__s").orderBy("__r2", "__in2")) - F.col("__sum")).drop("__sum")
+    inner = Window.partitionBy("source", "__r", "__in").orderBy("__h", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
+    queued = placed.join(starts, placed["source"].eqNullSafe(starts["__s"]) & (F.col("__r") == F.col("__r2")) & (F.col("__in") == F.col("__in2"))).drop("__s", "__r2", "__in2").withColumn("__cum", F.sum("size").over(inner) + F.col("__from"))
     # Each copy's finish time, of the copies that may be taken: none of a source without words.
     finish = lambda e: (F.col("__cum") + F.lit(e) * F.col("source_size")) / F.col("target")
     timed = stage_table(queued.withColumn("__t", F.when((F.col("target") > 0) & (F.col("size") > 0), F.array(*[finish(e) for e in range(repeats)]))), "queue")
