@@ -9,7 +9,7 @@ doesn't know has the weight 0.
 
 Defined cases: null and empty texts get the score of a text without known words; a
 null id is scored and never learnt from; repeated labels of an id count as toxic if
-any is; with labels of one kind only, or none, every score is their smoothed share;
+any is, and of repeated texts of an id the one with the least hash is learnt from; with labels of one kind only, or none, every score is their smoothed share;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +30,8 @@ from .shared import stage_table
 LABELLED = 20_000
 WORDS = 1_000
 LEAST_ROWS = 5
+#: Identity terms that a table may have.
+TERMS = 10_000
 L2 = 0.1
 SWAP = 10.0
 THRESHOLD = 0.3
@@ -65,10 +67,21 @@ def strings_of(terms: list[str]) -> pa.Array:
     return tk.strings(pa.array(terms, pa.string()))
 
 
+def groups_of(table: DataFrame, most: int = TERMS) -> str:
+    """IDENTITY's form of a table of terms (group, term) of one's own; more than ``most`` terms are an error."""
+    rows = table.select("group", "term").filter("group IS NOT NULL AND term IS NOT NULL").distinct().orderBy("group", "term").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"there are more than {most} identity terms")
+    lines: dict = {}
+    for r in rows:
+        lines.setdefault(r["group"], []).append(r["term"])
+    return "\n".join(" ".join(line) for line in lines.values())
+
+
 def swaps(groups: str = IDENTITY) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     for line in groups.strip().splitlines():
-        h = [int(x) for x in word_hashes(line.split())]
+        h = list(dict.fromkeys(int(x) for x in word_hashes(line.split())))
         out |= {a: [b for b in h if b != a] for a in h}
     return out
 
@@ -130,12 +143,13 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, words: int = WORDS, groups: str = IDENTITY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, words: int = WORDS, groups: str = IDENTITY, swap: float = SWAP) -> Model:
+    """groups: IDENTITY or ``groups_of`` a table. swap: the penalty's strength; 0 for none."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The bound holds before texts are read: a sample of labels, then their texts.
     few = stage_table(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("id"), "toxic"), "labelled")
     # At most ``bound`` rows of two numbers: the broadcast has a fixed size, and texts stay where they are.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("id", "toxic", "text").dropDuplicates(["id"])
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.coalesce("text", F.lit("")))).alias("text"))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, words: int
     known = bags.select("id", "toxic", F.array_intersect("words", F.array(*[F.lit(int(x)) for x in signed]).cast("array<long>")).alias("words")) if len(signed) else bags.select("id", "toxic", F.array().cast("array<long>").alias("words"))
     got = sorted((r["id"], r["toxic"], r["words"]) for r in known.collect())
     rows = [np.array(ws, np.int64).view(U64) for _, _, ws in got]
-    return fit(rows, np.array([float(t) for _, t, _ in got]), vocabulary, pairs)
+    return fit(rows, np.array([float(t) for _, t, _ in got]), vocabulary, pairs, swap=swap)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
