@@ -1,8 +1,7 @@
 """Cutoffs: from scores to the list of cells to inspect, and the inspect/fix/mark loop's steps.
 
-scores: cell_id, score. known_good: cell_id. Ranks over all scores use one ordered
-window; scores are one row per cell that has a score, and callers at scale pass
-nonzero scores only.
+scores: cell_id, score. known_good: cell_id. Ranks are taken over regions of tied
+scores, one row for each distinct score, never over cells.
 """
 
 from __future__ import annotations
@@ -29,13 +28,17 @@ def significance_of(text: str) -> float:
     return (100 - percent) / 100
 
 
+def _regions(scores: DataFrame) -> DataFrame:
+    """at (a score), size, n (of all), upto: cells with at least that score."""
+    counts = scores.groupBy(F.col("score").alias("at")).agg(F.count("*").alias("size"))
+    return counts.withColumn("n", F.sum("size").over(Window.partitionBy())).withColumn("upto", F.sum("size").over(Window.orderBy(F.col("at").desc())))
+
+
 def above_significance(scores: DataFrame, significance: float, known_good: DataFrame | None = None) -> DataFrame:
     """Cells with a nonzero score of at least that at position N - round(N * s) from the top; ties stay."""
-    order = Window.orderBy(F.col("score").desc(), F.col("cell_id"))
-    n = F.count("*").over(Window.partitionBy())
-    placed = scores.withColumn("pos", F.row_number().over(order) - 1).withColumn("at", F.least(n - F.bround(n * significance), n - 1))
-    level = F.max(F.when(F.col("pos") == F.col("at"), F.col("score"))).over(Window.partitionBy())
-    return _unknown(placed.withColumn("level", level).filter((F.col("score") >= F.col("level")) & (F.col("score") != 0)).select("cell_id", "score"), known_good)
+    place = F.least(F.col("n") - F.bround(F.col("n") * significance), F.col("n") - 1)
+    level = _regions(scores).filter((place >= F.col("upto") - F.col("size")) & (place < F.col("upto"))).select(F.col("at").alias("level"))
+    return _unknown(scores.crossJoin(F.broadcast(level)).filter((F.col("score") >= F.col("level")) & (F.col("score") != 0)).select("cell_id", "score"), known_good)
 
 
 def flag(candidates: DataFrame) -> DataFrame:
@@ -55,11 +58,9 @@ def fix(cells: DataFrame, fixes: DataFrame, value: str = "raw") -> DataFrame:
 
 def quantile(scores: DataFrame, share: float, known_good: DataFrame | None = None) -> DataFrame:
     """Whole regions of tied scores from the top, as long as they start below the share and end within it."""
-    order = Window.orderBy(F.col("score").desc())
-    n = F.count("*").over(Window.partitionBy())
-    placed = scores.withColumn("upto", F.cume_dist().over(order)).withColumn("before", F.rank().over(order) - 1).withColumn("n", n)
-    inside = (F.col("upto") < share + 1.0 / F.col("n")) & (F.col("before") / F.col("n") < share)
-    return _unknown(placed.filter(inside).select("cell_id", "score"), known_good)
+    inside = (F.col("upto") / F.col("n") < share + 1.0 / F.col("n")) & ((F.col("upto") - F.col("size")) / F.col("n") < share)
+    taken = _regions(scores).filter(inside).select("at")
+    return _unknown(scores.join(taken, F.col("score") == F.col("at"), "left_semi").select("cell_id", "score"), known_good)
 
 
 def quantile_compat(ordered: list[tuple[int, int]], share: float) -> list[tuple[int, int]]:

@@ -45,9 +45,12 @@ def typed(raw: Column) -> tuple[Column, Column]:
 
 
 def as_text(num: Column, txt: Column) -> Column:
-    """A value as text: whole numbers without a point."""
-    whole = (num == F.floor(num)) & (F.abs(num) < 1e15)
-    return F.when(num.isNotNull(), F.when(whole, num.cast("decimal(20,0)").cast("string")).otherwise(num.cast("string"))).otherwise(F.coalesce(txt, F.lit("")))
+    """A value as text: whole numbers without a point, others with up to ten decimals."""
+    size = F.abs(num)
+    plain = F.regexp_replace(num.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    whole = num.cast("decimal(20,0)").cast("string")
+    shown = F.when((num == F.floor(num)) & (size < 1e15), whole).when((size >= 1e-4) & (size < 1e15), plain).otherwise(num.cast("string"))
+    return F.when(num.isNotNull(), shown).otherwise(F.coalesce(txt, F.lit("")))
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ from .cutoff import Cutoff
 DETECTORS = (("bootstrap", Cutoff("quantile", 0.10)), ("normal_all", Cutoff("quantile", 0.10)))
 
 
-def run(cells: DataFrame, errors: DataFrame, boots: int = 2700, significance: float = 0.95, rounds: int = 100, name: str = "cells", detectors=DETECTORS) -> DataFrame:
+def run(cells: DataFrame, errors: DataFrame, boots: int = 2700, significance: float = 0.95, rounds: int | None = None, name: str = "cells", detectors=DETECTORS) -> DataFrame:
     """The detectors in turn on the same errors (cell_id, value)."""
     found = None
     for detector, cutoff in detectors:

@@ -1,8 +1,11 @@
 """Simulated audit: errors are injected, a detector flags cells one by one, flagged errors are corrected.
 
 The loop is sequential by nature: a correction changes the data that the next
-analysis sees. Each round is a fixed number of Spark jobs; only the flagged cell and
-a few totals reach the driver. Outputs are sums of ranges.
+analysis sees. Between two corrections the order of inspection is fixed, so a round
+takes all cells up to the next error at once: a fixed number of Spark jobs for each
+error found, not for each cell inspected. What the user inspects reaches the driver;
+errors that nobody finds stay in a table. Outputs are sums of ranges. The audit ends
+when the detector flags nothing more.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import magnitude_change
+from ..sources.staging import stage_table
 from ..sources.store import ITERATIONS, RESULT
-from . import inference, metrics, normal
+from . import evaluate, graph, inference, metrics, normal
 from .cutoff import Cutoff
 
 
@@ -23,7 +28,8 @@ from .cutoff import Cutoff
 class Audit:
     true_positives: list[int] = field(default_factory=list)
     false_positives: list[int] = field(default_factory=list)
-    false_negatives: list[int] = field(default_factory=list)
+    n_missed: int = 0
+    missed: DataFrame | None = None
     terms: list[float] = field(default_factory=list)
     errors: list[float] = field(default_factory=list)
     log: list[tuple] = field(default_factory=list)
@@ -35,6 +41,23 @@ def outputs(cells: DataFrame) -> DataFrame:
     return cells.groupBy(F.col("range_id").alias("cell_id")).agg(F.sum("v").cast("string").alias("value"))
 
 
+def prepare(workbook: DataFrame) -> tuple[graph.Graph, DataFrame, DataFrame]:
+    """What a simulation on a workbook (cell_id, worksheet, row, col, raw) needs: its graph, the values of all cells, and its outputs.
+
+    A workbook without formulas, without a range of inputs or with a loop is an error.
+    """
+    g = graph.build(stage_table(workbook.select("cell_id", "worksheet", "row", "col", "raw"), "cells"))
+    if g.formulas.limit(1).count() == 0:
+        raise ValueError("there is no formula")
+    if graph.terminal_vectors(g).limit(1).count() == 0:
+        raise ValueError("there is no range with an input")
+    # Compiling puts the formulas in order, so it finds loops.
+    known = stage_table(evaluate.present(g, evaluate.compiled(g)), "values")
+    values = known.select(F.col("src").alias("cell_id"), evaluate.as_text(F.col("num"), F.col("txt")).alias("value"))
+    cells = values.join(g.cells.select("cell_id"), "cell_id", "left_semi")
+    return g, cells, cells.join(graph.terminal_formulas(g).withColumnRenamed("formula_id", "cell_id"), "cell_id", "left_semi")
+
+
 def checked(cells: DataFrame) -> DataFrame:
     """The preconditions of a simulation: there are inputs, and ranges of two or more cells."""
     if cells.groupBy("range_id").count().filter("count >= 2").limit(1).count() == 0:
@@ -42,18 +65,30 @@ def checked(cells: DataFrame) -> DataFrame:
     return cells
 
 
-def _next(cells: DataFrame, scores: DataFrame | None, known: DataFrame, detector: str, cutoff: Cutoff) -> int | None:
+def _with_errors(cells: DataFrame, errors: DataFrame) -> DataFrame:
+    """cells with the values (cell_id, bad) of errors."""
+    bad = errors.select("cell_id", F.col("bad").cast("double").alias("bad"))
+    return cells.join(bad, "cell_id", "left").withColumn("v", F.coalesce("bad", F.col("v").cast("double"))).drop("bad")
+
+
+def _ids(spark: SparkSession, ids: list[int]) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in ids], "cell_id long")
+
+
+def inspections(now: DataFrame, known: DataFrame, detector: str, cutoff: Cutoff, boots: int, significance: float) -> DataFrame:
+    """cell_id and k (from 1): the cells that the detector would have inspected, in order, if none of them changed."""
     if detector == "bootstrap":
-        found = cutoff.apply(scores, known).orderBy(F.col("score").desc(), "cell_id").limit(1).collect()
-    elif detector == "normal_per_range":
-        found = normal.step_per_range(cells, known).collect()
+        scores = stage_table(inference.merge(inference.analyze(now, "SUM", boots, significance)), "scores")
+        found, order = cutoff.apply(scores, known), [F.col("score").desc(), F.col("cell_id")]
     else:
-        found = normal.step_all(cells, known).collect()
-    return found[0]["cell_id"] if found else None
+        by_range = detector == "normal_per_range"
+        found = normal.outliers(now, by_range).join(known, "cell_id", "left_anti")
+        order = [F.col("range_id"), F.col("rank")] if by_range else [F.col("rank")]
+    return found.withColumn("k", F.row_number().over(Window.orderBy(*order))).select("cell_id", "k")
 
 
-def audit(cells: DataFrame, errors: DataFrame, detector: str = "bootstrap", cutoff: Cutoff = Cutoff("quantile", 0.10), boots: int = 50, significance: float = 0.95, rounds: int = 20, name: str = "cells") -> Audit:
-    """cells: range_id, idx, cell_id, v, weight. errors: cell_id, value (a number). At most ``rounds`` inspections.
+def audit(cells: DataFrame, errors: DataFrame, detector: str = "bootstrap", cutoff: Cutoff = Cutoff("quantile", 0.10), boots: int = 50, significance: float = 0.95, rounds: int | None = None, name: str = "cells") -> Audit:
+    """cells: range_id, idx, cell_id, v, weight. errors: cell_id, value (a number). rounds: None, or how many cells the user will inspect.
 
     The snapshot of outputs is refreshed before an error is measured, so that the
     series shows the state after each correction.
@@ -61,56 +96,57 @@ def audit(cells: DataFrame, errors: DataFrame, detector: str = "bootstrap", cuto
     spark = cells.sparkSession
     began = time.time()
     checked(cells)
-    correct = outputs(cells).persist()
+    correct = stage_table(outputs(cells), "outputs")
     originals = cells.select("cell_id", F.col("v").alias("original"))
-    pending = errors
+    pending = stage_table(originals.join(errors.select("cell_id", F.col("value").cast("double").alias("bad")), "cell_id"), "errors")
     out, known = Audit(), []
-    scores, corrected = None, True
-    wrong = {r["cell_id"]: r["value"] for r in errors.join(cells.select("cell_id"), "cell_id", "left_semi").limit(100_000).collect()}
-    fixed: list[int] = []
-    for k in range(1, rounds + 1):
-        if corrected:
-            pending = errors.filter(~F.col("cell_id").isin(fixed)) if fixed else errors
-            now = cells.join(pending.select("cell_id", F.col("value").cast("double").alias("bad")), "cell_id", "left").withColumn("v", F.coalesce("bad", F.col("v").cast("double"))).drop("bad").persist()
-            if detector == "bootstrap":
-                each = inference.analyze(now, "SUM", boots, significance)
-                scores = inference.merge(each).persist()
-        good = spark.createDataFrame([(x,) for x in known], "cell_id long")
-        if cutoff.is_count_based and len(known) >= cutoff.threshold:
-            break
-        cell = _next(now, scores, good, detector, cutoff)
-        if cell is None:
+    now = stage_table(_with_errors(cells, pending), "state")
+    total, mean = _measured(correct, now)
+    budget = min(rounds if rounds is not None else math.inf, cutoff.threshold if cutoff.is_count_based else math.inf)
+    while len(known) < budget:
+        order = inspections(now, _ids(spark, known), detector, cutoff, boots, significance)
+        marked = stage_table(order.join(originals, "cell_id").join(pending.select("cell_id", "bad"), "cell_id", "left"), "order")
+        first = marked.agg(F.min(F.when(F.col("bad").isNotNull(), F.col("k")))).first()[0]
+        upto = min(first if first is not None else math.inf, budget - len(known))
+        taken = sorted((marked.filter(F.col("k") <= upto) if upto < math.inf else marked).collect(), key=lambda r: r["k"])
+        found = [r["cell_id"] for r in taken if r["bad"] is not None]
+        if found:
+            pending = stage_table(pending.join(_ids(spark, found), "cell_id", "left_anti"), "errors")
+            now = stage_table(_with_errors(cells, pending), "state")
+        for r in taken:
+            known.append(r["cell_id"])
+            wrong = r["bad"] is not None
+            (out.true_positives if wrong else out.false_positives).append(r["cell_id"])
+            out.terms.append(len(out.true_positives) / len(known) if wrong else 0.0)
+            if wrong:
+                total, mean = _measured(correct, now)
+            out.errors.append(total)
+            bad = r["bad"] if wrong else r["original"]
+            out.log.append((name, detector, significance, float(cutoff.threshold), str(r["cell_id"]), str(r["original"]), str(bad), mean, _magnitude(bad, r["original"]), 0.0, True, wrong))
+        if not found:
             break
-        known.append(cell)
-        corrected = cell in wrong
-        if corrected:
-            fixed.append(cell)
-            out.true_positives.append(cell)
-        else:
-            out.false_positives.append(cell)
-        out.terms.append(len(out.true_positives) / k if corrected else 0.0)
-        state = cells.join(errors.filter(~F.col("cell_id").isin(fixed)).select("cell_id", F.col("value").cast("double").alias("bad")), "cell_id", "left").withColumn("v", F.coalesce("bad", F.col("v").cast("double")))
-        total = metrics.total_error(correct, outputs(state)).first()["total_error"]
-        mean = metrics.mean_magnitude(correct, outputs(state)).first()["mean_magnitude"]
-        out.errors.append(float(total))
-        original = originals.filter(F.col("cell_id") == cell).first()["original"]
-        bad = wrong.get(cell, original)
-        size = _magnitude(bad, original)
-        out.log.append((name, detector, significance, float(cutoff.threshold), str(cell), str(original), str(bad), float(mean), size, 0.0, True, corrected))
-    out.false_negatives = sorted(set(wrong) - set(out.true_positives))
-    for cell in out.false_negatives:
-        original = originals.filter(F.col("cell_id") == cell).first()["original"]
-        out.log.append((name, detector, significance, float(cutoff.threshold), str(cell), str(original), str(wrong[cell]), float("nan"), _magnitude(wrong[cell], original), 0.0, False, True))
+    out.n_missed = pending.count()
+    text = lambda x: F.lit(x)
+    size = magnitude_change(F.col("bad"), F.col("original").cast("double"))
+    out.missed = pending.select(text(name), text(detector), F.lit(significance), F.lit(float(cutoff.threshold)), F.col("cell_id").cast("string"), F.col("original").cast("string"), F.col("bad").cast("string"), F.lit(float("nan")), size, F.lit(0.0), F.lit(False), F.lit(True))
     out.seconds = time.time() - began
     return out
 
 
+def _measured(correct: DataFrame, now: DataFrame) -> tuple[float, float]:
+    """Total and mean error of the outputs, in one job."""
+    present = outputs(now)
+    row = metrics.total_error(correct, present).crossJoin(F.broadcast(metrics.mean_magnitude(correct, present))).first()
+    return float(row["total_error"]), float(row["mean_magnitude"])
+
+
 def _magnitude(e: float, c: float) -> float:
     return 0.0 if float(e) == float(c) else math.log10(abs(float(e) - float(c)) / abs(float(c) + 1e-12))
 
 
 def iterations(spark: SparkSession, a: Audit) -> DataFrame:
-    return spark.createDataFrame(a.log, ITERATIONS)
+    """Inspected cells in order, and errors that weren't."""
+    return spark.createDataFrame(a.log, ITERATIONS).unionAll(a.missed)
 
 
 def report(cells: DataFrame, errors: DataFrame, a: Audit, detector: str, significance: float = 0.95, name: str = "cells") -> DataFrame:
@@ -119,7 +155,7 @@ def report(cells: DataFrame, errors: DataFrame, a: Audit, detector: str, signifi
     began = time.time()
     correct = outputs(cells)
     state = lambda left: cells.join(left.select("cell_id", F.col("value").cast("double").alias("bad")), "cell_id", "left").withColumn("v", F.coalesce("bad", F.col("v").cast("double")))
-    first, last = outputs(state(errors)), outputs(state(errors.filter(~F.col("cell_id").isin(a.true_positives)) if a.true_positives else errors))
+    first, last = outputs(state(errors)), outputs(state(errors.join(_ids(spark, a.true_positives), "cell_id", "left_anti")))
     most = metrics.max_errors(correct, first)
     relative = lambda o: metrics.total_relative_error(metrics.normalized_error(correct, o, most)).first()[0]
     start, end = relative(first), relative(last)
@@ -129,7 +165,7 @@ def report(cells: DataFrame, errors: DataFrame, a: Audit, detector: str, signifi
     strings = lambda df, c: df.select("cell_id", F.col(c).cast("string").alias("value"))
     sizes = metrics.magnitudes(strings(cells, "v"), strings(errors, "value")).agg(F.max("num_magnitude"), F.max("str_magnitude")).first()
     changed = metrics.magnitudes(correct, first).agg(F.max("num_magnitude"), F.max("str_magnitude")).first()
-    row = Row(name, float(start), float(end), float(end / start) if start else 0.0, effort, inputs, effort / max(inputs, 1), n, len(a.true_positives), len(a.false_positives), len(a.false_negatives), float(sum(a.terms) / n) if n else 0.0, time.time() - began, a.seconds, detector, significance, True, True, *[float(x) if x is not None else None for x in (*sizes, *changed)])
+    row = Row(name, float(start), float(end), float(end / start) if start else 0.0, effort, inputs, effort / max(inputs, 1), n, len(a.true_positives), len(a.false_positives), a.n_missed, float(sum(a.terms) / n) if n else 0.0, time.time() - began, a.seconds, detector, significance, True, True, *[float(x) if x is not None else None for x in (*sizes, *changed)])
     return spark.createDataFrame([row], RESULT)
 
 

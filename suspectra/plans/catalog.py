@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import baselines, graphs, impact, retyping
+from . import baselines, graphs, impact, retyping, workbooks
 
 
 def queries() -> dict:
-    return impact.QUERIES | baselines.QUERIES | graphs.QUERIES | retyping.QUERIES
+    return impact.QUERIES | baselines.QUERIES | graphs.QUERIES | retyping.QUERIES | workbooks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return impact.SQL | baselines.SQL | graphs.SQL | retyping.SQL
+    return impact.SQL | baselines.SQL | graphs.SQL | retyping.SQL | workbooks.SQL

@@ -107,8 +107,8 @@ def graph_loops(spark, sf_dir):
 
 
 def graph_addresses(spark, sf_dir):
-    """Cells of all columns up to the table of parts' sizes, as A1 text and back."""
-    n = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7).cast("int").alias("col"), (F.col("p_partkey") % 1000 + 1).cast("int").alias("row")).filter("col <= 16384")
+    """A cell for each part, over all columns of a sheet, as A1 text and back."""
+    n = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7 % 16384 + 1).cast("int").alias("col"), (F.col("p_partkey") % 1000 + 1).cast("int").alias("row"))
     return n.select("p_partkey", "col", formula.a1(F.col("row"), F.col("col")).alias("address")).withColumn("back", formula.column_number(F.regexp_extract("address", "^([A-Z]+)", 1)))
 
 
@@ -139,7 +139,7 @@ SQL = {
     "graph_leaf_cells": f"{_PATHS} SELECT DISTINCT cell_id FROM leaves",
     "graph_path_weights": f"{_PATHS} SELECT formula_id AS cell_id, count(*) AS weight FROM leaves GROUP BY formula_id UNION ALL SELECT DISTINCT cell_id, 1 FROM leaves",
     "graph_loops": f"WITH RECURSIVE {BOOK}, reach AS (SELECT formula_id, cell_id FROM inputs UNION SELECT r.formula_id, i.cell_id FROM reach r JOIN inputs i ON r.cell_id = i.formula_id) SELECT f.formula_id, EXISTS (SELECT 1 FROM reach r WHERE r.formula_id = f.formula_id AND r.cell_id = f.formula_id) AS in_loop FROM formulas f",
-    "graph_addresses": """WITH n AS (SELECT p_partkey, (p_partkey * 7)::INT AS col, (p_partkey % 1000 + 1)::INT AS r FROM part WHERE p_partkey * 7 <= 16384)
+    "graph_addresses": """WITH n AS (SELECT p_partkey, (p_partkey * 7 % 16384 + 1)::INT AS col, (p_partkey % 1000 + 1)::INT AS r FROM part)
 SELECT p_partkey, col, CASE WHEN col > 702 THEN chr(65 + ((col - 703) // 676)::INT) ELSE '' END || CASE WHEN col > 26 THEN chr(65 + (((col - 27) // 26) % 26)::INT) ELSE '' END || chr(65 + ((col - 1) % 26)::INT) || r AS address, col AS back FROM n""",
     "dot_export": f"""WITH {BOOK} SELECT 'c' || cell_id || ' -> c' || formula_id || ';' AS line, 1::BIGINT AS n FROM f2i UNION ALL SELECT 'vector to formula', count(*) FROM ranges UNION ALL SELECT 'cell to vector', count(*) FROM v2i""",
 }

@@ -1,4 +1,4 @@
-"""Queries of resampling, inference and cutoffs over customers' balances by nation, with injected errors."""
+"""Queries of resampling, inference and cutoffs over customers' balances in ranges of RANGE, with injected errors."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.numbers import NUMBER, number
 from ..functions.portable import sql_draw
 from ..operators import bootstrap, cutoff, inference
+from ..sources.staging import stage_table
 
 SEED, BOOTS, FEW, SIG = 1, 100, 20, 0.95
+#: As many resamples as an interactive analysis takes; cells of a range: at most one of them is wrong.
+ALL, RANGE = 2719, 60
 LOW = (1 - SIG) / 2
 HIGH = SIG + LOW
 
@@ -21,13 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances in cents; every 97th is a thousand times too large."""
     wrong = F.when(F.col("c_custkey") % 97 == 0, 1000).otherwise(1)
-    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    of = F.floor(F.col("c_custkey") / RANGE).cast("long")
+    order = Window.partitionBy(of).orderBy("c_custkey")
     return table(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").alias("range_id"), (F.row_number().over(order) - 1).alias("idx"), F.col("c_custkey").alias("cell_id"), (F.round(F.col("c_acctbal") * 100).cast("long") * wrong).alias("v"), (F.col("c_custkey") % 3 + 1).alias("weight")
+        of.alias("range_id"), (F.row_number().over(order) - 1).alias("idx"), F.col("c_custkey").alias("cell_id"), (F.round(F.col("c_acctbal") * 100).cast("long") * wrong).alias("v"), (F.col("c_custkey") % 3 + 1).alias("weight")
     )
 
 
-CELLS = """cells AS (SELECT c_nationkey AS range_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS idx, c_custkey AS cell_id,
+CELLS = f"""cells AS (SELECT c_custkey // {RANGE} AS range_id, (row_number() OVER (PARTITION BY c_custkey // {RANGE} ORDER BY c_custkey) - 1)::INT AS idx, c_custkey AS cell_id,
   round(c_acctbal * 100)::BIGINT * CASE WHEN c_custkey % 97 = 0 THEN 1000 ELSE 1 END AS v, c_custkey % 3 + 1 AS weight FROM customer)"""
 
 
@@ -93,6 +97,11 @@ def impact_numeric_scores(spark, sf_dir):
     return inference.analyze(cells(spark, sf_dir), "SUM", BOOTS, SIG, SEED)
 
 
+def impact_full_scores(spark, sf_dir):
+    """With as many resamples as an interactive analysis takes."""
+    return inference.analyze(cells(spark, sf_dir), "SUM", ALL, SIG, SEED)
+
+
 def numeric_sql(source: str = "cells", value: str = "sum(v * cnt)", whole: str = "sum(v)", boots: int = BOOTS) -> str:
     """CTEs up to ``scores``."""
     cut = lambda x: f"trunc(({x}) * 10000) / 10000.0::DOUBLE"
@@ -126,7 +135,7 @@ def _mode(values: DataFrame, keys: list[str]) -> DataFrame:
 
 def impact_string_scores(spark, sf_dir):
     c = _priorities(spark, sf_dir)
-    samples = bootstrap.resample(c, FEW, SEED)
+    samples = stage_table(bootstrap.resample(c, FEW, SEED), "samples")
     boots = _mode(samples.join(c.select("range_id", "idx", "v"), ["range_id", "idx"]), ["range_id", "boot_id"]).select("range_id", F.col("range_id").alias("output_id"), "boot_id", F.col("v").alias("value"))
     originals = _mode(c.withColumn("cnt", F.lit(1)), ["range_id"]).select("range_id", F.col("range_id").alias("output_id"), F.col("v").alias("original"))
     return inference.string_scores(c, boots, bootstrap.excluded(c, samples, FEW), originals, SIG)
@@ -156,7 +165,8 @@ SELECT range_id, range_id AS output_id, value, count(*) AS n, count(*)::DOUBLE /
 def _scores(spark, sf_dir) -> DataFrame:
     """Scores of two outputs of each cell's nation, merged."""
     c = cells(spark, sf_dir)
-    return inference.merge(inference.analyze(c, "SUM", BOOTS, SIG, SEED), inference.analyze(c.withColumn("v", F.greatest(F.col("v"), F.lit(0))), "SUM", BOOTS, SIG, SEED))
+    both = {"all": ("v", "SUM"), "positive": ("positive", "SUM")}
+    return inference.merge(inference.analyze_outputs(c.withColumn("positive", F.greatest(F.col("v"), F.lit(0))), both, BOOTS, SIG, SEED))
 
 
 MERGED = f"""{CELLS}, first AS (WITH {numeric_sql()} SELECT cell_id, floor(weight * outlierness)::BIGINT AS score FROM scores),
@@ -252,6 +262,7 @@ QUERIES = {
     "boot_sorted": boot_sorted,
     "boot_frequencies": boot_frequencies,
     "impact_numeric_scores": impact_numeric_scores,
+    "impact_full_scores": impact_full_scores,
     "impact_average_scores": impact_average_scores,
     "impact_string_scores": impact_string_scores,
     "impact_weighted_merge": impact_weighted_merge,
@@ -266,7 +277,17 @@ QUERIES = {
     "cut_normal": cut_normal,
 }
 
+#: The literal walk as a loop: start and end are places in the ordered list; a region's rest from start on is taken.
+COMPAT_SQL = f"""WITH RECURSIVE {MERGED}, ordered AS (SELECT *, row_number() OVER (ORDER BY score DESC, cell_id) - 1 AS pos, count(*) OVER () AS n FROM merged),
+ends AS (SELECT pos, cell_id, score, n, (SELECT count(*) FROM merged m WHERE m.score >= o.score) AS upto FROM ordered o),
+walk AS (SELECT 0::BIGINT AS start, 0::BIGINT AS upto, 0::BIGINT AS last, false AS done
+  UNION ALL SELECT greatest(w.start, x.region) + 1, x.region, w.start, x.region / e.n::DOUBLE >= 0.5::DOUBLE + 1.0::DOUBLE / e.n
+  FROM walk w JOIN ends e ON e.pos = w.start, LATERAL (SELECT CASE WHEN w.upto < e.n AND (SELECT score FROM ends f WHERE f.pos = w.upto) = e.score THEN (SELECT f.upto FROM ends f WHERE f.pos = w.upto) ELSE w.upto END AS region) x
+  WHERE NOT w.done AND w.start / e.n::DOUBLE < 0.5::DOUBLE)
+SELECT cell_id, score FROM ends e WHERE EXISTS (SELECT 1 FROM walk w WHERE NOT done AND upto > 0 AND e.pos >= w.last AND e.pos < w.upto)"""
+
 SQL = {
+    "cut_quantile_compat": COMPAT_SQL,
     "boot_resample_counts": f"WITH {CELLS}, {sample_sql(FEW)} SELECT * FROM samples",
     "boot_excluded": f"WITH {CELLS}, {sample_sql(FEW)}, {LEFT_OUT.format(source='cells')} SELECT * FROM left_out",
     "boot_histograms": f"WITH {CELLS}, {sample_sql(FEW)}, h AS (SELECT range_id, boot_id, string_agg(idx || 'x' || cnt, ' ' ORDER BY idx) AS histogram FROM samples GROUP BY ALL) SELECT range_id, histogram, min(boot_id)::INT AS boot_id, count(*) AS n_equal FROM h GROUP BY ALL",
@@ -281,6 +302,7 @@ SQL = {
     "boot_sorted": f"WITH {CELLS}, {sample_sql(FEW)}, b AS (SELECT range_id, boot_id, sum(v * cnt)::BIGINT AS value FROM samples JOIN cells USING (range_id, idx) GROUP BY ALL) SELECT range_id, boot_id, value, range_id AS output_id, (row_number() OVER (PARTITION BY range_id ORDER BY value, boot_id) - 1)::INT AS pos FROM b",
     "boot_frequencies": FREQ_SQL,
     "impact_numeric_scores": f"WITH {CELLS}, {numeric_sql()} SELECT cell_id, range_id, range_id AS output_id, outlierness, floor(weight * outlierness)::BIGINT AS score FROM scores",
+    "impact_full_scores": f"WITH {CELLS}, {numeric_sql(boots=ALL)} SELECT cell_id, range_id, range_id AS output_id, outlierness, floor(weight * outlierness)::BIGINT AS score FROM scores",
     "impact_average_scores": f"WITH {CELLS}, {numeric_sql(value='sum(v * cnt)::DOUBLE / sum(cnt)::DOUBLE', whole='sum(v)::DOUBLE / count(*)::DOUBLE')} SELECT cell_id, range_id, range_id AS output_id, outlierness, floor(weight * outlierness)::BIGINT AS score FROM scores",
     "impact_string_scores": STRING_SQL,
     "impact_weighted_merge": f"WITH {MERGED} SELECT * FROM merged",

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.align import align_udf, lcs_length_udf, subsequences_udf
 from ..operators import crowd, inference, simulate, typo_model
 from ..operators.cutoff import Cutoff
-from .impact import cells, table
+from .impact import BOOTS, CELLS, cells, table
 
 #: Part of a wide crowd row before the items, and fields of an item.
 HEAD = crowd.ITEMS_AT
@@ -21,7 +21,7 @@ def retyped(spark, sf_dir) -> DataFrame:
     at = F.col("p_partkey") % 5 + 2
     left = lambda n: F.substring(name, F.lit(1), n)
     one = lambda n: F.substring(name, n, F.lit(1))
-    rest = lambda n: F.substring(name, n, F.lit(1000))
+    rest = lambda n: F.substring(name, n, F.char_length(name))
     typed = F.when(k % 11 == 0, F.concat(left(at - 1), rest(at + 1))).when(k % 13 == 0, F.concat(left(at), rest(at))).when(k % 17 == 0, F.concat(left(at - 1), one(at + 1), one(at), rest(at + 2))).otherwise(name)
     return p.select(F.concat(F.lit("w"), k % 7).alias("worker_id"), k.alias("cell_id"), name.alias("original"), typed.alias("retyped"))
 
@@ -153,29 +153,47 @@ def single_errors(spark, sf_dir):
 
 
 def _slice(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Clean balances, and errors a thousand times as large."""
+    """Clean balances, and errors a thousand times as large in every 701st."""
     c = cells(spark, sf_dir)
     clean = c.withColumn("v", F.when(F.col("cell_id") % 97 == 0, (F.col("v") / 1000).cast("long")).otherwise(F.col("v")))
-    return clean, clean.filter("cell_id % 97 = 0").select("cell_id", (F.col("v") * 1000).cast("double").alias("value"))
+    return clean, clean.filter("cell_id % 701 = 0").select("cell_id", (F.col("v") * 1000).cast("double").alias("value"))
 
 
 def simulate_audit(spark, sf_dir):
-    """The iterations of a short audit by bootstrap and of one by each normal baseline."""
+    """The iterations of an audit by bootstrap and of one by each normal baseline, each until nothing is flagged."""
     clean, errors = _slice(spark, sf_dir)
-    parts = [simulate.iterations(spark, simulate.audit(clean, errors, d, Cutoff("quantile", 0.10), boots=20, rounds=r)) for d, r in (("bootstrap", 2), ("normal_per_range", 3), ("normal_all", 3))]
+    parts = [simulate.iterations(spark, simulate.audit(clean, errors, d, Cutoff("quantile", 0.10), boots=BOOTS)) for d in ("bootstrap", "normal_per_range", "normal_all")]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 def simulation_report(spark, sf_dir):
     clean, errors = _slice(spark, sf_dir)
-    rows = [simulate.report(clean, errors, simulate.audit(clean, errors, d, Cutoff("quantile", 0.10), boots=20, rounds=2), d) for d in ("bootstrap", "normal_all")]
+    rows = [simulate.report(clean, errors, simulate.audit(clean, errors, d, Cutoff("quantile", 0.10), boots=BOOTS), d) for d in ("bootstrap", "normal_all")]
     return rows[0].unionAll(rows[1])
 
 
+def crowd_by_accuracy(spark, sf_dir):
+    """Workers, the most accurate first; their place is a column."""
+    return crowd.by_accuracy(retyped(spark, sf_dir)).withColumn("place", F.row_number().over(Window.orderBy(F.col("accuracy").desc(), "worker_id")))
+
+
+def signs(spark, sf_dir):
+    """The sign of balances as they are written."""
+    raw = F.when(F.col("v") > 500_000, F.concat(F.lit("+"), "v")).otherwise(F.col("v").cast("string"))
+    return cells(spark, sf_dir).select("cell_id", raw.alias("raw")).select("cell_id", typo_model.sign_of().alias("sign"))
+
+
+#: Row by row of the table of lengths: the best of the row above, of a match's diagonal, and of what is left of it.
+LCS_SQL = f"""WITH RECURSIVE {RETYPED}, pairs AS (SELECT DISTINCT original AS x, retyped AS y FROM retyped),
+rows AS (SELECT x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0) AS last FROM pairs
+  UNION ALL SELECT x, y, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(steps[1:j])) FROM (
+    SELECT x, y, i, list_transform(range(1, length(y) + 2), lambda j: CASE WHEN j > 1 AND substr(y, j - 1, 1) = substr(x, i + 1, 1) THEN last[j - 1] + 1 ELSE last[j] END) AS steps FROM rows WHERE i < length(x)))
+SELECT cell_id, last[length(y) + 1]::INT AS length FROM retyped JOIN rows ON x = original AND y = retyped AND i = length(x)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        crowd_unpivot, crowd_accuracy, crowd_by_worker, crowd_busiest, crowd_pairs, char_error_rate, typo_distribution, transposition_distribution, lcs_length, lcs_align, lcs_strings,
+        crowd_unpivot, crowd_accuracy, crowd_by_worker, crowd_by_accuracy, signs, crowd_busiest, crowd_pairs, char_error_rate, typo_distribution, transposition_distribution, lcs_length, lcs_align, lcs_strings,
         typo_train, transposition_train, typo_counts, error_strings, important_errors, top_of_k, single_errors, simulate_audit, simulation_report,
     )
 }
@@ -184,13 +202,14 @@ SQL = {
     "crowd_unpivot": f"WITH {RETYPED}, twos AS (SELECT cell_id // 2 AS pair FROM retyped GROUP BY 1 HAVING count(*) = 2) SELECT (SELECT w.worker_id FROM retyped w WHERE w.cell_id = r.cell_id - r.cell_id % 2) AS worker_id, 'path' AS path, 'book' AS workbook, 'sheet' AS worksheet, r.cell_id::INT AS row, (r.cell_id % 2 + 1)::INT AS col, original, retyped FROM retyped r WHERE cell_id // 2 IN (SELECT pair FROM twos)",
     "crowd_accuracy": f"WITH {RETYPED} SELECT avg((original = retyped)::INT) AS accuracy, count(*) AS n_inputs, count(DISTINCT worker_id) AS n_workers FROM retyped",
     "crowd_by_worker": f"WITH {RETYPED} SELECT worker_id, count(*) AS assignments, avg((original = retyped)::INT) AS accuracy FROM retyped GROUP BY worker_id",
+    "crowd_by_accuracy": f"WITH {RETYPED}, w AS (SELECT worker_id, count(*) AS assignments, avg((original = retyped)::INT) AS accuracy FROM retyped GROUP BY worker_id) SELECT *, row_number() OVER (ORDER BY accuracy DESC, worker_id)::INT AS place FROM w",
+    "signs": f"WITH {CELLS} SELECT cell_id, (CASE WHEN v > 500000 THEN 1 WHEN v < 0 THEN -1 ELSE 0 END)::INT AS sign FROM cells",
     "crowd_busiest": f"WITH {RETYPED} SELECT worker_id, count(*) AS assignments FROM retyped GROUP BY worker_id ORDER BY assignments DESC, worker_id LIMIT 1",
     "crowd_pairs": f"WITH {RETYPED} SELECT original, retyped FROM retyped",
     "char_error_rate": f"WITH {RETYPED} SELECT round(1 - sum(len(list_filter(range(1, least(length(original), length(retyped)) + 1), lambda k: substr(original, k, 1) = substr(retyped, k, 1))))::DOUBLE / sum(greatest(length(original), length(retyped)))::DOUBLE, 9) AS char_error_rate FROM retyped",
     "typo_distribution": f"WITH {TYPO} SELECT intended, typed, n, n::DOUBLE / (sum(n) OVER (PARTITION BY intended))::DOUBLE AS p FROM typo",
     "transposition_distribution": f"WITH {RETYPED}, d AS (SELECT (length(retyped) - length(original))::INT AS delta, count(*) AS n FROM retyped GROUP BY 1) SELECT delta, n, n::DOUBLE / (sum(n) OVER ())::DOUBLE AS p FROM d",
-    # The common subsequence of a text and its copy with one letter dropped, doubled or swapped.
-    "lcs_length": f"WITH {RETYPED} SELECT cell_id, (CASE WHEN original = retyped THEN length(original) WHEN length(retyped) < length(original) THEN length(retyped) WHEN length(retyped) > length(original) THEN length(original) ELSE length(original) - 1 END)::INT AS length FROM retyped",
+    "lcs_length": LCS_SQL,
     "important_errors": f"WITH {EFFECTS} SELECT cell_id, value, effect FROM best QUALIFY row_number() OVER (ORDER BY effect DESC, cell_id) <= ceil(0.05::DOUBLE * count(*) OVER ())",
     "top_of_k": f"WITH {EFFECTS} SELECT cell_id, value, effect FROM best",
     "single_errors": f"WITH {EFFECTS} SELECT row_number() OVER (ORDER BY md5('1:' || cell_id), cell_id, candidate)::INT AS replicate, cell_id, value FROM cands WHERE value <> raw QUALIFY row_number() OVER (ORDER BY md5('1:' || cell_id), cell_id, candidate) <= 100",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The columns of the files.
 CELLS = "cell_id long, workbook string, worksheet string, path string, row int, col int, raw string"
 ERRORS = "row int, col int, path string, workbook string, worksheet string, value string"
 ITERATIONS = (
@@ -79,6 +80,10 @@ def write_result(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RESULT).parquet(path)
+
+
 def write_dot(lines: DataFrame, path: str) -> None:
     """The lines of ``operators.graph.dot`` as a text file of a DOT graph."""
     first, last = "digraph dependencies {", "}"
