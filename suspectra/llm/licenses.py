@@ -6,7 +6,8 @@ its own class, is suppressed. DataFrame functions only.
 
 Defined cases: a null text has no words; empty tables give empty results; ids are
 only carried (null and repeated ids keep a row for each row); other columns are
-ignored; very long texts take memory in proportion to their words.
+ignored; very long texts take memory in proportion to their words, and a row for each
+match.
 """
 
 from __future__ import annotations
@@ -52,18 +53,11 @@ def padded(pattern: str) -> str:
     return " " + pattern.replace(" ", "  ").replace("m?  ?", "(?:m  )?").replace("share  ?alike", "share(?:  )?alike").replace("non  ?commercial", "non(?:  )?commercial").replace("no  ?deriv", "no(?:  )?deriv").replace("beer  ?ware", "beer(?:  )?ware") + " "
 
 
-def _places(norm: Column, pattern: Column, rank: Column, cls: Column) -> Column:
-    """Detections of one rule in words: the words of the pieces and matches before it give the start."""
+def _cells(norm: Column, pattern: Column) -> Column:
+    """For each match of one rule, in order: how many words lie between it and the one before, and how many it has."""
     n_words = lambda s: ((F.char_length(s) - F.char_length(F.replace(s, F.lit(" ")))) / 2).cast("int")
     matches = F.regexp_extract_all(norm, pattern, F.lit(0))
-    cells = F.transform(F.arrays_zip(F.slice(F.split(norm, pattern), F.lit(1), F.size(matches)).alias("p"), matches.alias("m")), lambda x: F.struct(n_words(x["p"]).alias("p"), n_words(x["m"]).alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,rank:int,cls:int>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["p"]
-        return F.struct((start + x["m"]).alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end"), rank.alias("rank"), cls.alias("cls")))).alias("out"))
-
-    return F.aggregate(cells, zero, step)["out"]
+    return F.transform(F.arrays_zip(F.slice(F.split(norm, pattern), F.lit(1), F.size(matches)).alias("p"), matches.alias("m")), lambda x: F.struct(n_words(x["p"]).alias("p"), n_words(x["m"]).alias("m")))
 
 
 def detections(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -81,7 +75,8 @@ def detections(docs: DataFrame, text: str = "text") -> DataFrame:
     for key in keys:
         opens = opens | F.contains(F.col("__low"), F.lit(key))
     norm = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.translate(body, UPPER, LOWERED), BREAK), lambda w: w != ""), "  "), F.lit(" "))
-    each = F.flatten(F.transform(F.filter(F.col("__rules"), lambda r: F.contains(F.col("__norm"), r["key"])), lambda r: _places(F.col("__norm"), r["pattern"], r["rank"], r["cls"])))
+    tried = F.transform(F.filter(F.col("__rules"), lambda r: F.contains(F.col("__norm"), r["key"])), lambda r: F.struct(r["rank"].alias("rank"), r["cls"].alias("cls"), _cells(F.col("__norm"), r["pattern"]).alias("cells")))
+    each = F.filter(tried, lambda x: F.size(x["cells"]) > 0)
     rows = (
         docs.withColumn("row", F.monotonically_increasing_id())
         .withColumn("n_words", F.regexp_count(body, F.lit(WORD)).cast("long"))
@@ -91,7 +86,13 @@ def detections(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("__found", F.when(F.col("__norm").isNotNull(), each))
         .drop(text, "__low", "__norm", "__rules")
     )
-    flat = rows.withColumn("__d", F.explode_outer("__found")).select(*[c for c in docs.columns if c != text], "row", "n_words", "__d.*")
+    keep = [*[c for c in docs.columns if c != text], "row", "n_words"]
+    # Each generator's row holds nothing but what is named: not the array of all matches.
+    rules_of = rows.select(*keep, F.explode_outer("__found").alias("__d")).select(*keep, F.col("__d.rank").alias("rank"), F.col("__d.cls").alias("cls"), F.col("__d.cells").alias("__cells"))
+    cells = rules_of.select(*keep, "rank", "cls", F.posexplode_outer("__cells").alias("__pos", "__cell")).repartition("row")
+    # A match's place is the running sum of the words before it.
+    end = F.sum(F.col("__cell.p") + F.col("__cell.m")).over(Window.partitionBy("row", "rank").orderBy("__pos")).cast("int")
+    flat = cells.withColumn("end", end).withColumn("start", F.col("end") - F.col("__cell.m")).drop("__pos", "__cell")
     before = Window.partitionBy("row").orderBy(F.col("start"), F.col("end").desc(), F.col("cls"), F.col("rank")).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.lit(None).cast("int")
     for c in reversed(range(CLASSES)):
@@ -100,7 +101,7 @@ def detections(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """A row per document: counts and places of the base phrases, labels, and the share of words that kept detections cover."""
+    """A row per document: counts and places of the base phrases, labels, and the kept detections' words per word, 1 at most (where detections overlap, words count for each)."""
     names = F.split(F.lit(",".join(label for label, *_ in RULES)), ",")
     slim = docs.select("doc_id", "text")
     found = detections(slim).withColumn("label", F.get(names, F.col("rank")))
