@@ -172,16 +172,17 @@ def test_follow_fixes(spark, tmp_path):
 
 
 def test_entry_without_corpus_operators(tmp_path):
-    """Everything else imports when the corpus operators are deleted."""
+    """Everything else imports when both folders of the corpus operators are deleted, with their pipeline or without it."""
     import os
     import shutil
     import subprocess
     import sys
 
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'impact_numeric_scores' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
-    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=os.environ | {"PYTHONPATH": ""}, check=False).returncode == 0
+    for k, gone in enumerate((("llm",), ("llm", "corpus_pipeline.py"))):
+        shutil.copytree(here, tmp_path / f"r{k}", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__"))
+        assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / f"r{k}", env=os.environ | {"PYTHONPATH": ""}, check=False).returncode == 0
 
 
 def test_experiments(spark, tmp_path):
