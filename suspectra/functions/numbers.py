@@ -25,6 +25,10 @@ def cut4(x: Column) -> Column:
     return F.when(scaled < 0, F.ceil(scaled)).otherwise(F.floor(scaled)) / 10000.0
 
 
+def at_least_zero(x: Column) -> Column:
+    return F.greatest(x, F.lit(0))
+
+
 def magnitude_change(erroneous: Column, correct: Column) -> Column:
     """Orders of magnitude of the relative error of numbers; 0 if equal."""
     return F.when(erroneous == correct, F.lit(0.0)).otherwise(F.log10(F.abs(erroneous - correct) / F.abs(correct + 1e-12)))

@@ -50,6 +50,11 @@ def mark_ok(known_good: DataFrame, cells: DataFrame) -> DataFrame:
     return known_good.select("cell_id").union(cells.select("cell_id")).distinct()
 
 
+def reset(known_good: DataFrame) -> DataFrame:
+    """No cell is known to be good."""
+    return known_good.select("cell_id").filter(F.lit(False))
+
+
 def fix(cells: DataFrame, fixes: DataFrame, value: str = "raw") -> DataFrame:
     """A new snapshot of the cells with fixed values (cell_id, value)."""
     new = fixes.select("cell_id", F.col("value").alias("__new"))

@@ -88,6 +88,16 @@ def inputs(g: Graph) -> DataFrame:
     return through.unionAll(g.f2i).distinct()
 
 
+def describe(g: Graph, cells: DataFrame) -> DataFrame:
+    """What the graph knows of some cells (cell_id): raw, is_formula, and the vectors and single cells that a formula reads."""
+    asked = cells.select("cell_id").distinct()
+    of = lambda edges, what: edges.withColumnRenamed("formula_id", "asked").join(asked.withColumnRenamed("cell_id", "asked"), "asked").groupBy("asked").agg(F.array_sort(F.collect_set(what)).alias(f"reads_{what}"))
+    known = asked.join(g.cells, "cell_id").withColumn("is_formula", F.col("raw").rlike("^="))
+    for edges, what in ((g.f2v, "range_id"), (g.f2i, "cell_id")):
+        known = known.join(of(edges, what), F.col("cell_id") == F.col("asked"), "left").drop("asked")
+    return known
+
+
 def terminal_formulas(g: Graph, all_outputs: bool = False) -> DataFrame:
     """Formulas that no formula reads; or all."""
     if all_outputs:

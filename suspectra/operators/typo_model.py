@@ -43,6 +43,18 @@ def sign_of(raw: str = "raw") -> F.Column:
     return F.when(first == "-", -1).when(first == "+", 1).otherwise(0)
 
 
+def errors(pairs: DataFrame) -> DataFrame:
+    """original, retyped and each error of a pair: kind (transposition, typo or sign) with delta, with intended and typed, or with sign."""
+    done = pairs.select("original", "retyped").distinct().withColumn("p", process_udf("original", "retyped"))
+    null = lambda kind: F.lit(None).cast(kind)
+    moves = done.select("original", "retyped", F.explode(F.filter("p.deltas", lambda d: d != 0)).alias("delta")).select("original", "retyped", F.lit("transposition").alias("kind"), "delta", null("string").alias("intended"), null("string").alias("typed"), null("int").alias("sign"))
+    wrong = done.select("original", "retyped", F.explode(F.filter("p.typos", lambda t: F.coalesce(t["intended"], F.lit("")) != t["typed"])).alias("t"))
+    typos = wrong.select("original", "retyped", F.lit("typo").alias("kind"), null("int").alias("delta"), "t.intended", "t.typed", null("int").alias("sign"))
+    turned = done.filter(sign_of("original") != sign_of("retyped"))
+    signs = turned.select("original", "retyped", F.lit("sign").alias("kind"), null("int").alias("delta"), null("string").alias("intended"), null("string").alias("typed"), sign_of("retyped").alias("sign"))
+    return moves.unionByName(typos).unionByName(signs)
+
+
 def load(typo: DataFrame, moves: DataFrame) -> ErrorModel:
     """The model in memory; its tables are counted first."""
     if typo.limit(MODEL_LIMIT + 1).count() > MODEL_LIMIT:

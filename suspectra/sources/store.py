@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import stage_table
+
 # The columns of the files.
 CELLS = "cell_id long, workbook string, worksheet string, path string, row int, col int, raw string"
 ERRORS = "row int, col int, path string, workbook string, worksheet string, value string"
@@ -21,11 +23,22 @@ RESULT = (
 )
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
+    """df with the place of each row (from 1) in the order of some columns: by ranges of them, each numbered in a task of its own."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage_table(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("int")).drop("__part", "__at", "__before")
+
+
 def cells_from_wide(df: DataFrame, worksheet: str = "Sheet1", workbook: str = "", path: str = "", order: list[str] | None = None) -> DataFrame:
     """A table as cells: row numbers by ``order`` columns, column numbers by position, values as strings (null: empty)."""
-    numbered = df.withColumn("row", F.row_number().over(Window.orderBy(*(order or df.columns))))
-    each = F.array(*[F.struct(F.lit(k + 1).alias("col"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("raw")) for k, c in enumerate(df.columns)])
-    flat = numbered.select("row", F.explode(each).alias("x")).select("row", "x.*")
+    places = [F.struct(F.lit(k + 1).alias("col"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("raw")) for k, c in enumerate(df.columns)]
+    keys = [f"__k{k}" for k in range(len(order or df.columns))]
+    keyed = df.select(F.array(*places).alias("each"), *[F.col(f"`{c}`").alias(k) for c, k in zip(order or df.columns, keys, strict=True)])
+    flat = numbered(keyed, keys).select("row", F.explode("each").alias("x")).select("row", "x.*")
     return flat.select((F.col("row").cast("long") * 16384 + F.col("col")).alias("cell_id"), F.lit(workbook).alias("workbook"), F.lit(worksheet).alias("worksheet"), F.lit(path).alias("path"), "row", "col", "raw")
 
 

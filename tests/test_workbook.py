@@ -8,8 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from suspectra.functions import align, expression
-from suspectra.operators import evaluate, experiments, graph, inference, simulate
+from suspectra.functions import align, expression, numbers
+from suspectra.operators import cutoff, evaluate, experiments, graph, inference, simulate, typo_model
 from suspectra.sources import store
 from suspectra.streaming.reanalysis import last_fixes
 
@@ -126,3 +126,26 @@ def test_results_are_written_and_read(spark, tmp_path):
     store.write_result(report, str(tmp_path / "result"))
     assert store.read_result(spark, str(tmp_path / "result")).first() == report.first()
     assert experiments.DETECTORS[0][0] == "bootstrap"
+
+
+def test_rows_are_numbered_in_order(spark):
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 50), k) for k in range(500)]
+    got = store.numbered(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a", "b"]).collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["row"])] == sorted(rows) and sorted(r["row"] for r in got) == list(range(1, 501))
+
+
+def test_kinds_of_errors(spark):
+    pairs = spark.createDataFrame([("-5", "5"), ("Testing", "Tesying"), ("acc", "cca"), ("same", "same")], "original string, retyped string")
+    got = {(r["original"], r["kind"]) for r in typo_model.errors(pairs).collect()}
+    assert ("-5", "sign") in got and ("Testing", "typo") in got and ("acc", "transposition") in got and not any(o == "same" for o, _ in got)
+
+
+def test_lookups(spark):
+    g = graph.build(_cells(spark, [(1, 1, "1"), (2, 1, "2"), (3, 1, "=SUM(A1:A2)+A1")]))
+    got = {r["cell_id"]: r for r in graph.describe(g, spark.createDataFrame([(101,), (301,), (999,)], "cell_id long")).collect()}
+    assert set(got) == {101, 301} and not got[101]["is_formula"] and got[301]["is_formula"]
+    assert got[301]["reads_cell_id"] == [101] and len(got[301]["reads_range_id"]) == 1 and got[101]["reads_cell_id"] is None
+    known = spark.createDataFrame([(1,)], "cell_id long")
+    assert cutoff.reset(known).count() == 0
+    assert [r[0] for r in spark.createDataFrame([(-2,), (3,)], "x int").select(numbers.at_least_zero(F.col("x"))).collect()] == [0, 3]
