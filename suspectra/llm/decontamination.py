@@ -243,7 +243,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bits: int = GATE_BITS) ->
 def candidates_of(single: DataFrame, table: DataFrame) -> DataFrame:
     """Windows (size, content, f1, f2) with the items (item_id, g1, g2) of their size that they meet in a block; a pair may come more than once."""
     listed = keyed(table.select("size", "f1", "f2", "item_id"), True).withColumnsRenamed({"f1": "g1", "f2": "g2", "size": "item_size"})
-    return keyed(single.select("size", "content", "f1", "f2"), False).join(listed, "key").drop("key", "item_size")
+    # The listing is of no bounded size: never a broadcast.
+    return keyed(single.select("size", "content", "f1", "f2"), False).join(listed.hint("merge"), "key").drop("key", "item_size")
 
 
 def distance() -> F.Column:
