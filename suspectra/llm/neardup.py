@@ -104,7 +104,7 @@ def estimate(x: Column, y: Column, n: Column, m: Column) -> Column:
 def similar(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("keys").alias(f"k{c}"))
-    near = _with_pivots(pairs.join(side("b"), "b"), side("a"))
+    near = _with_pivots(pairs, side("a")).join(side("b"), "b")
     fits = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
     return near.filter(fits & (estimate(F.col("ka"), F.col("kb"), F.col("na"), F.col("nb")) >= least - MARGIN)).select("a", "b")
 
