@@ -88,6 +88,12 @@ def inputs(g: Graph) -> DataFrame:
     return through.unionAll(g.f2i).distinct()
 
 
+def reads(g: Graph) -> DataFrame:
+    """formula_id, cell_id, times: how often a formula reads a cell, once by itself and once in each of its ranges that holds it."""
+    through = g.f2v.join(g.v2i, "range_id").select("formula_id", "cell_id")
+    return through.unionAll(g.f2i).groupBy("formula_id", "cell_id").agg(F.count("*").alias("times"))
+
+
 def describe(g: Graph, cells: DataFrame) -> DataFrame:
     """What the graph knows of some cells (cell_id): raw, is_formula, and the vectors and single cells that a formula reads."""
     asked = cells.select("cell_id").distinct()
@@ -119,13 +125,13 @@ def _is_formula(g: Graph) -> DataFrame:
 
 def leaf_paths(g: Graph) -> DataFrame:
     """formula_id, cell_id, paths: how many paths lead from a formula to a cell that isn't a formula."""
-    edges = stage_table(inputs(g), "inputs")
-    inner = edges.join(_is_formula(g), "cell_id", "left_semi").select(F.col("formula_id").alias("node_id"), F.col("cell_id").alias("src"))
-    done = edges.join(_is_formula(g), "cell_id", "left_anti").select("formula_id", "cell_id", F.lit(1).cast("long").alias("paths"))
+    edges = stage_table(reads(g), "reads")
+    inner = edges.join(_is_formula(g), "cell_id", "left_semi").select(F.col("formula_id").alias("node_id"), F.col("cell_id").alias("src"), "times")
+    done = edges.join(_is_formula(g), "cell_id", "left_anti").select("formula_id", "cell_id", F.col("times").alias("paths"))
     # From the lowest level up: the paths of a formula are those of its inputs.
     for level in peeled(_is_formula(g).withColumnRenamed("cell_id", "node_id"), inner)[1:]:
-        steps = inner.join(level, "node_id", "left_semi").select(F.col("node_id").alias("upper"), F.col("src").alias("formula_id"))
-        done = done.unionAll(stage_table(steps.join(done, "formula_id").groupBy(F.col("upper").alias("formula_id"), "cell_id").agg(F.sum("paths").alias("paths")), "paths"))
+        steps = inner.join(level, "node_id", "left_semi").select(F.col("node_id").alias("upper"), F.col("src").alias("formula_id"), "times")
+        done = done.unionAll(stage_table(steps.join(done, "formula_id").groupBy(F.col("upper").alias("formula_id"), "cell_id").agg(F.sum(F.col("times") * F.col("paths")).alias("paths")), "paths"))
     return done.groupBy("formula_id", "cell_id").agg(F.sum("paths").alias("paths"))
 
 

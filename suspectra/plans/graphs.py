@@ -123,7 +123,8 @@ QUERIES = {f.__name__: f for f in (graph_formulas, graph_functions, graph_vector
 
 _NAMES = 'top, lft AS "left", bottom, rgt AS "right"'
 _PERTURBABLE = "marked AS (SELECT top, lft, bottom, rgt, bool_or(cell_id NOT IN (SELECT formula_id FROM formulas)) AS perturbable FROM v2i GROUP BY ALL)"
-_PATHS = f"WITH RECURSIVE {ACYCLIC}, paths AS (SELECT formula_id, cell_id FROM inputs UNION ALL SELECT p.formula_id, i.cell_id FROM paths p JOIN inputs i ON p.cell_id = i.formula_id), leaves AS (SELECT * FROM paths WHERE cell_id NOT IN (SELECT formula_id FROM formulas))"
+#: A cell in two ranges of a formula is two ways to it.
+_PATHS = f"WITH RECURSIVE {ACYCLIC}, reads AS (SELECT formula_id, cell_id FROM ranges JOIN v2i USING (top, lft, bottom, rgt) UNION ALL SELECT * FROM f2i), paths AS (SELECT formula_id, cell_id FROM reads UNION ALL SELECT p.formula_id, i.cell_id FROM paths p JOIN reads i ON p.cell_id = i.formula_id), leaves AS (SELECT * FROM paths WHERE cell_id NOT IN (SELECT formula_id FROM formulas))"
 SQL = {
     "graph_formulas": f"WITH {BOOK} SELECT cell_id AS formula_id, raw AS expr FROM cells WHERE starts_with(raw, '=')",
     "graph_functions": f"WITH {BOOK} SELECT DISTINCT formula_id, unnest(regexp_extract_all(expr, '([A-Z][A-Z0-9.]*)\\(', 1)) AS function FROM formulas",

@@ -149,3 +149,9 @@ def test_lookups(spark):
     known = spark.createDataFrame([(1,)], "cell_id long")
     assert cutoff.reset(known).count() == 0
     assert [r[0] for r in spark.createDataFrame([(-2,), (3,)], "x int").select(numbers.at_least_zero(F.col("x"))).collect()] == [0, 3]
+
+
+def test_weights_count_every_way(spark):
+    """A cell in two ranges of a formula, and by itself, is three ways to it."""
+    g = graph.build(_cells(spark, [(1, 1, "1"), (2, 1, "2"), (1, 2, "=SUM(A1:A2)+MAX(A1:A1)+A1"), (2, 2, "=B1*B1+A2"), (3, 2, "=SUM(B1:B2)+B1")]))
+    assert {r["cell_id"]: r["weight"] for r in graph.weights(g).collect()} == {101: 1, 201: 1, 102: 4, 202: 5, 302: 13}
