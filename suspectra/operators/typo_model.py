@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import process_udf
+from ..functions.align import dealt, process_udf
 from ..functions.errors import ErrorModel, rng_for
 from ..functions.numbers import absolute_error
 
@@ -15,10 +15,13 @@ MODEL_LIMIT = 1_000_000
 
 
 def train(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(typo: intended, typed, n; transpose: delta, n) from pairs (original, retyped). Equal pairs are aligned once."""
+    """(typo: intended, typed, n; transpose: delta, n) from pairs (original, retyped). Equal pairs are aligned once.
+
+    explode would have the planner ask for non-empty arrays below the grouping, and so align every row.
+    """
     each = pairs.groupBy("original", "retyped").agg(F.count("*").alias("m")).select("m", process_udf("original", "retyped").alias("p"))
-    typo = each.select("m", F.explode("p.typos").alias("t")).groupBy(F.col("t.intended").alias("intended"), F.col("t.typed").alias("typed")).agg(F.sum("m").alias("n"))
-    moves = each.select("m", F.explode("p.deltas").alias("delta")).groupBy("delta").agg(F.sum("m").alias("n"))
+    typo = each.select("m", F.explode_outer("p.typos").alias("t")).filter("t IS NOT NULL").groupBy(F.col("t.intended").alias("intended"), F.col("t.typed").alias("typed")).agg(F.sum("m").alias("n"))
+    moves = each.select("m", F.explode_outer("p.deltas").alias("delta")).filter("delta IS NOT NULL").groupBy("delta").agg(F.sum("m").alias("n"))
     return typo, moves
 
 
@@ -47,8 +50,8 @@ def errors(pairs: DataFrame) -> DataFrame:
     """original, retyped and each error of a pair: kind (transposition, typo or sign) with delta, with intended and typed, or with sign."""
     done = pairs.select("original", "retyped").distinct().withColumn("p", process_udf("original", "retyped"))
     null = lambda kind: F.lit(None).cast(kind)
-    moves = done.select("original", "retyped", F.explode(F.filter("p.deltas", lambda d: d != 0)).alias("delta")).select("original", "retyped", F.lit("transposition").alias("kind"), "delta", null("string").alias("intended"), null("string").alias("typed"), null("int").alias("sign"))
-    wrong = done.select("original", "retyped", F.explode(F.filter("p.typos", lambda t: F.coalesce(t["intended"], F.lit("")) != t["typed"])).alias("t"))
+    moves = done.select("original", "retyped", F.explode_outer(F.filter("p.deltas", lambda d: d != 0)).alias("delta")).filter("delta IS NOT NULL").select("original", "retyped", F.lit("transposition").alias("kind"), "delta", null("string").alias("intended"), null("string").alias("typed"), null("int").alias("sign"))
+    wrong = done.select("original", "retyped", F.explode_outer(F.filter("p.typos", lambda t: F.coalesce(t["intended"], F.lit("")) != t["typed"])).alias("t")).filter("t IS NOT NULL")
     typos = wrong.select("original", "retyped", F.lit("typo").alias("kind"), null("int").alias("delta"), "t.intended", "t.typed", null("int").alias("sign"))
     turned = done.filter(sign_of("original") != sign_of("retyped"))
     signs = turned.select("original", "retyped", F.lit("sign").alias("kind"), null("int").alias("delta"), null("string").alias("intended"), null("string").alias("typed"), sign_of("retyped").alias("sign"))
@@ -70,7 +73,7 @@ def error_strings(cells: DataFrame, model: ErrorModel, k: int, seed: int = 1, su
         form = model.subtle_error if subtle else model.error
         return pd.Series([form(r or "", rng_for(seed, c, j)) for c, j, r in zip(cell, candidate, raw, strict=True)])
 
-    each = cells.select("cell_id", "raw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("candidate"))
+    each = dealt(cells.select("cell_id", "raw"), "cell_id", "raw").select("cell_id", "raw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("candidate"))
     return each.withColumn("value", make("cell_id", "candidate", "raw"))
 
 

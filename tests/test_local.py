@@ -44,3 +44,43 @@ def test_no_draw_is_shuffled(spark, monkeypatch, kind):
     monkeypatch.setattr(local, "HELD", 300)
     assert answer(inference.analyze_outputs(cells, outputs, 40, 0.9, 1)) == want
     assert answer(inference._local_outputs(cells, outputs, 40, 0.9, 1)) == want
+
+
+def test_texts_that_no_try_changes(monkeypatch):
+    """Equal characters that are always typed right end at once; the others give what the plain walk over weights gives."""
+    from suspectra.functions import errors
+
+    model = errors.ErrorModel({("1", "1"): 9, ("2", "2"): 9, (None, ""): 9}, {0: 8, -1: 1, 1: 1})
+    monkeypatch.setattr(model, "transposed", None)
+    assert model.error("1111", errors.rng_for(1)) == "1111"
+    monkeypatch.undo()
+    assert model.error("1122", errors.rng_for(1)) != "1122"
+    weights, rng, again = {"a": 0.1, "b": 0.0, "c": 0.7, "d": 0.2}, errors.rng_for(5), errors.rng_for(5)
+    for _ in range(200):
+        u, upto, want = again.random() * sum(weights.values()), 0.0, None
+        for k, w in weights.items():
+            upto += w
+            if want is None and u < upto:
+                want = k
+        assert errors.pick(weights, rng) == want
+
+
+def test_rows_to_align_are_dealt(spark):
+    """A file of one part is aligned by all tasks, and an equal pair of a batch once."""
+    from suspectra.functions import align
+
+    pairs = spark.createDataFrame([(k, "abc", "acb") for k in range(50)], "cell_id int, x string, y string").coalesce(1)
+    assert align.dealt(pairs, "cell_id").rdd.getNumPartitions() == 4
+    seen = []
+    assert align._each(lambda x, y: seen.append((x, y)) or 7, ["a", None, "a"], ["b", "c", "b"]) == [7, 7, 7] and seen == [("a", "b"), ("", "c")]
+
+
+def test_equal_pairs_are_aligned_once(spark):
+    """No alignment below the grouping, where it would run for every row."""
+    from suspectra.operators import typo_model
+
+    pairs = spark.range(100).selectExpr("IF(id % 2 = 0, 'Testing', 'acc') AS original", "IF(id % 2 = 0, 'Tesying', 'cca') AS retyped")
+    for df in typo_model.train(pairs):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("process_udf") == 1 and plan.index("process_udf") < plan.rindex("Aggregate [")
+        assert df.agg({"n": "sum"}).first()[0] > 100
