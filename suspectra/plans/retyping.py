@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import align_udf, lcs_length_udf, subsequences_udf
+from ..functions.align import align_udf, dealt, lcs_length_udf, subsequences_udf
 from ..operators import crowd, inference, simulate, typo_model
 from ..operators.cutoff import Cutoff
 from .impact import BOOTS, CELLS, cells, table
@@ -88,15 +88,15 @@ def transposition_distribution(spark, sf_dir):
 
 
 def lcs_length(spark, sf_dir):
-    return retyped(spark, sf_dir).select("cell_id", lcs_length_udf("original", "retyped").alias("length"))
+    return dealt(retyped(spark, sf_dir), "cell_id").select("cell_id", lcs_length_udf("original", "retyped").alias("length"))
 
 
 def lcs_align(spark, sf_dir):
-    return retyped(spark, sf_dir).select("cell_id", align_udf("original", "retyped").alias("pairs"))
+    return dealt(retyped(spark, sf_dir), "cell_id").select("cell_id", align_udf("original", "retyped").alias("pairs"))
 
 
 def lcs_strings(spark, sf_dir):
-    return retyped(spark, sf_dir).select("cell_id", subsequences_udf("original", "retyped").alias("strings"))
+    return dealt(retyped(spark, sf_dir), "cell_id").select("cell_id", subsequences_udf("original", "retyped").alias("strings"))
 
 
 def typo_train(spark, sf_dir):
