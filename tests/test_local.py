@@ -84,3 +84,31 @@ def test_equal_pairs_are_aligned_once(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("process_udf") == 1 and plan.index("process_udf") < plan.rindex("Aggregate [")
         assert df.agg({"n": "sum"}).first()[0] > 100
+
+
+@pytest.mark.parametrize("name", ["impact_string_scores", "boot_frequencies", "impact_weighted_merge", "flag_first", "flag_significance", "flag_after_ok", "scores_top10", "cut_quantile", "cut_quantile_compat", "cut_number", "cut_normal"])
+def test_queries_shuffle_no_draws(spark, sf, monkeypatch, name):
+    """The queries' ranges are resampled within tasks: no row for each draw."""
+    from suspectra.operators import bootstrap
+    from suspectra.plans import impact
+
+    monkeypatch.setattr(bootstrap, "draws", None)
+    assert impact.QUERIES[name](spark, sf).columns
+
+
+def test_modes_within_tasks(spark, monkeypatch):
+    """The same modes as with a row for each draw: ties, missing values, a lone cell."""
+    from compare import rows_of
+
+    from suspectra.plans import impact
+
+    rng = random.Random(5)
+    rows = [(r, k, r * 100 + k, rng.choice(["a", "b", "\U00010000", "￿", None]) if r else "x", 2) for r in range(8) for k in range(1 + 2 * r)]
+    cells = spark.createDataFrame(rows, "range_id long, idx int, cell_id long, v string, weight int")
+    monkeypatch.setattr(impact, "_priorities", lambda *_: cells)
+    for query in (impact.impact_string_scores, impact.boot_frequencies):
+        got = query(spark, "")
+        with monkeypatch.context() as m:
+            m.setattr(local, "DRAWS", 0)
+            want = query(spark, "")
+            assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.collect()) and sorted(got.columns) == sorted(want.columns)
