@@ -1,40 +1,73 @@
 """Simulated audit: errors are injected, a detector flags cells one by one, flagged errors are corrected.
 
-The loop is sequential by nature: a correction changes the data that the next
-analysis sees. Between two corrections the order of inspection is fixed, so a round
-takes all cells up to the next error at once: a fixed number of Spark jobs for each
-error found, not for each cell inspected. What the user inspects reaches the driver;
-errors that nobody finds stay in a table. Outputs are sums of ranges. The audit ends
-when the detector flags nothing more.
+A correction changes the data that the next analysis sees, but only in its own range:
+``chains`` gets the order of all inspections from as many analyses as a range has
+errors at most. Cutoffs that are no regions of scores, cells in several ranges and
+numbers that aren't finite go one correction after the other; between two, the order
+is fixed, so that a round takes all cells up to the next error at once. Inspected
+cells and errors that nobody finds stay in tables. Outputs are sums of ranges. The
+audit ends when the detector flags nothing more.
 """
 
 from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import magnitude_change
 from ..sources.staging import stage_table
-from ..sources.store import ITERATIONS, RESULT
-from . import evaluate, graph, inference, metrics, normal
+from ..sources.store import ITERATIONS, RESULT, numbered
+from . import chains, evaluate, graph, inference, metrics, normal
 from .cutoff import Cutoff
 
+#: The columns of ITERATIONS.
+LOGGED = [c.split()[0] for c in ITERATIONS.split(", ")]
+
 
 @dataclass
 class Audit:
+    """steps: the inspected cells as rows of ITERATIONS, with k (from 1, their order), cell_id, was_error and the total error behind them."""
+
     true_positives: list[int] = field(default_factory=list)
-    false_positives: list[int] = field(default_factory=list)
+    found_at: list[int] = field(default_factory=list)
+    effort: int = 0
     n_missed: int = 0
+    steps: DataFrame | None = None
     missed: DataFrame | None = None
-    terms: list[float] = field(default_factory=list)
-    errors: list[float] = field(default_factory=list)
-    log: list[tuple] = field(default_factory=list)
     seconds: float = 0.0
 
+    @property
+    def precision(self) -> float:
+        """The sum of the terms of the average precision."""
+        return sum((i + 1) / k for i, k in enumerate(self.found_at))
+
+    def _collected(self, *columns: str) -> list[Row]:
+        return [] if self.steps is None else self.steps.select("k", *columns).orderBy("k").collect()
+
+    @property
+    def false_positives(self) -> list[int]:
+        return [r["cell_id"] for r in self._collected("cell_id", "was_error") if not r["was_error"]]
+
+    @property
+    def terms(self) -> list[float]:
+        at = {k: (i + 1) / k for i, k in enumerate(self.found_at)}
+        return [at.get(k, 0.0) for k in range(1, self.effort + 1)]
+
+    @property
+    def errors(self) -> list[float]:
+        return [r["total"] for r in self._collected("total")]
+
+    @property
+    def log(self) -> list[tuple]:
+        return [tuple(r)[1:] for r in self._collected(*LOGGED)]
+
 
 def outputs(cells: DataFrame) -> DataFrame:
     """cell_id (the range's), value (as text): the sum of each range."""
@@ -65,12 +98,6 @@ def checked(cells: DataFrame) -> DataFrame:
     return cells
 
 
-def _with_errors(cells: DataFrame, errors: DataFrame) -> DataFrame:
-    """cells with the values (cell_id, bad) of errors."""
-    bad = errors.select("cell_id", F.col("bad").cast("double").alias("bad"))
-    return cells.join(bad, "cell_id", "left").withColumn("v", F.coalesce("bad", F.col("v").cast("double"))).drop("bad")
-
-
 def _ids(spark: SparkSession, ids: list[int]) -> DataFrame:
     return spark.createDataFrame([(x,) for x in ids], "cell_id long")
 
@@ -93,16 +120,60 @@ def audit(cells: DataFrame, errors: DataFrame, detector: str = "bootstrap", cuto
     The snapshot of outputs is refreshed before an error is measured, so that the
     series shows the state after each correction.
     """
-    spark = cells.sparkSession
     began = time.time()
     checked(cells)
     correct = stage_table(outputs(cells), "outputs")
-    originals = cells.select("cell_id", F.col("v").alias("original"))
+    originals = cells.select("cell_id", "range_id", F.col("v").alias("original"))
     pending = stage_table(originals.join(errors.select("cell_id", F.col("value").cast("double").alias("bad")), "cell_id"), "errors")
-    out, known = Audit(), []
-    now = stage_table(_with_errors(cells, pending), "state")
-    total, mean = _measured(correct, now)
     budget = min(rounds if rounds is not None else math.inf, cutoff.threshold if cutoff.is_count_based else math.inf)
+    settings = (detector, cutoff, boots, significance)
+    taken = _chained if chains.applies(cells, pending, detector, cutoff) else _one_by_one
+    out, inspected = taken(cells, correct, pending, budget, settings)
+    text, level = F.lit, (F.lit(significance), F.lit(float(cutoff.threshold)))
+    columns = [text(name), text(detector), *level, F.col("cell_id").cast("string"), "original", "bad", "mean", "size", F.lit(0.0), F.lit(True), "wrong"]
+    out.steps = stage_table(inspected.select("k", "cell_id", "total", *[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(columns, LOGGED, strict=True)]), "steps")
+    missed = stage_table(pending.join(_ids(cells.sparkSession, out.true_positives), "cell_id", "left_anti"), "missed")
+    out.n_missed = missed.count()
+    size = magnitude_change(F.col("bad"), F.col("original").cast("double"))
+    out.missed = missed.select(text(name), text(detector), *level, F.col("cell_id").cast("string"), F.col("original").cast("string"), F.col("bad").cast("string"), F.lit(float("nan")), size, F.lit(0.0), F.lit(False), F.lit(True))
+    out.seconds = time.time() - began
+    return out
+
+
+def _chained(cells: DataFrame, correct: DataFrame, pending: DataFrame, budget: float, settings: tuple) -> tuple[Audit, DataFrame]:
+    """An audit by ``chains``, and its inspected cells: k, cell_id, original and bad (texts), size, mean, total, wrong."""
+    spark = cells.sparkSession
+    given = stage_table(pending.filter("bad IS NOT NULL"), "given")
+    known = {r["cell_id"]: (r["range_id"], r["original"], r["bad"]) for r in given.collect()}
+    detector, cutoff, boots, significance = settings
+    order, by = chains.ordered(cells, given, detector, cutoff, boots, significance)
+    placed = numbered(order.select(*dict.fromkeys(["cell_id", "wrong", *by])), by, "k").select("k", "cell_id", "wrong")
+    placed = stage_table(placed.filter(F.col("k") <= budget) if budget < math.inf else placed, "order")
+    hits = sorted((r["k"], r["cell_id"]) for r in placed.filter("wrong").select("k", "cell_id").collect())
+    out = Audit([c for _, c in hits], [k for k, _ in hits], placed.count())
+    total, mean = chains.measured(cells, correct, known, out.true_positives)
+    at = np.array(out.found_at, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = np.searchsorted(at, b.column(0).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(map(str, b.column(3).to_pylist())), pa.string()), pa.array(total[done]), pa.array(mean[done])], names=["k", "cell_id", "wrong", "original", "total", "mean"])
+
+    every = placed.join(cells.select(F.col("cell_id"), F.col("v").alias("original")), "cell_id").select("k", F.col("cell_id").cast("long"), "wrong", "original")
+    every = every.mapInArrow(run, "k int, cell_id long, wrong boolean, original string, total double, mean double")
+    of = [(c, str(known[c][2]), _magnitude(known[c][2], known[c][1])) for c in out.true_positives]
+    found = spark.createDataFrame(of, "cell_id long, bad string, size double")
+    return out, every.join(found, "cell_id", "left").withColumns({"bad": F.coalesce("bad", "original"), "size": F.coalesce("size", F.lit(0.0))})
+
+
+def _one_by_one(cells: DataFrame, correct: DataFrame, pending: DataFrame, budget: float, settings: tuple) -> tuple[Audit, DataFrame]:
+    """The same with an analysis of all cells after each correction."""
+    spark = cells.sparkSession
+    detector, cutoff, boots, significance = settings
+    originals = cells.select("cell_id", F.col("v").alias("original"))
+    out, known, log = Audit(), [], []
+    now = stage_table(chains.with_errors(cells, pending), "state")
+    total, mean = _measured(correct, now)
     while len(known) < budget:
         order = inspections(now, _ids(spark, known), detector, cutoff, boots, significance)
         marked = stage_table(order.join(originals, "cell_id").join(pending.select("cell_id", "bad"), "cell_id", "left"), "order")
@@ -112,25 +183,20 @@ def audit(cells: DataFrame, errors: DataFrame, detector: str = "bootstrap", cuto
         found = [r["cell_id"] for r in taken if r["bad"] is not None]
         if found:
             pending = stage_table(pending.join(_ids(spark, found), "cell_id", "left_anti"), "errors")
-            now = stage_table(_with_errors(cells, pending), "state")
+            now = stage_table(chains.with_errors(cells, pending), "state")
         for r in taken:
             known.append(r["cell_id"])
             wrong = r["bad"] is not None
-            (out.true_positives if wrong else out.false_positives).append(r["cell_id"])
-            out.terms.append(len(out.true_positives) / len(known) if wrong else 0.0)
             if wrong:
+                out.true_positives.append(r["cell_id"])
+                out.found_at.append(len(known))
                 total, mean = _measured(correct, now)
-            out.errors.append(total)
             bad = r["bad"] if wrong else r["original"]
-            out.log.append((name, detector, significance, float(cutoff.threshold), str(r["cell_id"]), str(r["original"]), str(bad), mean, _magnitude(bad, r["original"]), 0.0, True, wrong))
+            log.append((len(known), r["cell_id"], total, str(r["original"]), str(bad), mean, _magnitude(bad, r["original"]), wrong))
         if not found:
             break
-    out.n_missed = pending.count()
-    text = lambda x: F.lit(x)
-    size = magnitude_change(F.col("bad"), F.col("original").cast("double"))
-    out.missed = pending.select(text(name), text(detector), F.lit(significance), F.lit(float(cutoff.threshold)), F.col("cell_id").cast("string"), F.col("original").cast("string"), F.col("bad").cast("string"), F.lit(float("nan")), size, F.lit(0.0), F.lit(False), F.lit(True))
-    out.seconds = time.time() - began
-    return out
+    out.effort = len(known)
+    return out, spark.createDataFrame(log, "k int, cell_id long, total double, original string, bad string, mean double, size double, wrong boolean")
 
 
 def _measured(correct: DataFrame, now: DataFrame) -> tuple[float, float]:
@@ -146,7 +212,8 @@ def _magnitude(e: float, c: float) -> float:
 
 def iterations(spark: SparkSession, a: Audit) -> DataFrame:
     """Inspected cells in order, and errors that weren't."""
-    return spark.createDataFrame(a.log, ITERATIONS).unionAll(a.missed)
+    inspected = spark.createDataFrame([], ITERATIONS) if a.steps is None else a.steps.orderBy("k").select(*LOGGED)
+    return inspected.unionAll(a.missed)
 
 
 def report(cells: DataFrame, errors: DataFrame, a: Audit, detector: str, significance: float = 0.95, name: str = "cells") -> DataFrame:
@@ -161,11 +228,11 @@ def report(cells: DataFrame, errors: DataFrame, a: Audit, detector: str, signifi
     start, end = relative(first), relative(last)
     n = errors.join(cells.select("cell_id"), "cell_id", "left_semi").count()
     inputs = cells.select("cell_id").distinct().count()
-    effort = len(a.true_positives) + len(a.false_positives)
+    effort = a.effort
     strings = lambda df, c: df.select("cell_id", F.col(c).cast("string").alias("value"))
     sizes = metrics.magnitudes(strings(cells, "v"), strings(errors, "value")).agg(F.max("num_magnitude"), F.max("str_magnitude")).first()
     changed = metrics.magnitudes(correct, first).agg(F.max("num_magnitude"), F.max("str_magnitude")).first()
-    row = Row(name, float(start), float(end), float(end / start) if start else 0.0, effort, inputs, effort / max(inputs, 1), n, len(a.true_positives), len(a.false_positives), a.n_missed, float(sum(a.terms) / n) if n else 0.0, time.time() - began, a.seconds, detector, significance, True, True, *[float(x) if x is not None else None for x in (*sizes, *changed)])
+    row = Row(name, float(start), float(end), float(end / start) if start else 0.0, effort, inputs, effort / max(inputs, 1), n, len(a.true_positives), effort - len(a.true_positives), a.n_missed, float(a.precision / n) if n else 0.0, time.time() - began, a.seconds, detector, significance, True, True, *[float(x) if x is not None else None for x in (*sizes, *changed)])
     return spark.createDataFrame([row], RESULT)
 
 
