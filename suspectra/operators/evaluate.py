@@ -159,16 +159,17 @@ def present(g: graph.Graph, p: Program) -> DataFrame:
     return known
 
 
-def scenarios(p: Program, known: DataFrame, changed: DataFrame, boots: int) -> DataFrame:
+def scenarios(p: Program, known: DataFrame, changed: DataFrame, boots: int, early: DataFrame) -> DataFrame:
     """range_id, boot_id, src, num, txt of every node downstream of a range, for each of its resamples.
 
     changed: range_id, boot_id, src, num, txt: the values that a range's cells have
-    in a resample, formulas among them included.
+    in a resample, formulas among them included. early: the same of nodes that are
+    known already, of ranges that need no more of their cells.
     """
     keys = ["range_id", "boot_id"]
-    touched = stage_table(changed.select("range_id", "src").distinct(), "touched")
+    touched = stage_table(changed.select("range_id", "src").unionByName(early.filter("boot_id = 0").select("range_id", "src")).distinct(), "touched")
     fixed = touched.withColumnRenamed("src", "node_id")
-    values, made = changed, None
+    values, made = changed.unionByName(early), early
     for nodes in p.levels:
         mine = nodes.join(p.members.withColumnRenamed("num", "const"), "node_id")
         hit = mine.select("node_id", "src").join(touched, "src").select("range_id", "node_id").distinct().join(fixed, ["range_id", "node_id"], "left_anti")
@@ -178,5 +179,5 @@ def scenarios(p: Program, known: DataFrame, changed: DataFrame, boots: int) -> D
         rows = rows.join(values, [*keys, "src"], "left").withColumn("num", F.coalesce(F.when(F.col("new"), F.col("num")).otherwise(F.col("num0")), "const")).withColumn("txt", F.when(F.col("new"), F.col("txt")).otherwise(F.col("txt0")))
         found = stage_table(_evaluated(rows, keys, p.funcs).withColumnRenamed("node_id", "src"), "scenario")
         values, touched = values.unionByName(found), touched.unionByName(hit.withColumnRenamed("node_id", "src"))
-        made = found if made is None else made.unionByName(found)
+        made = made.unionByName(found)
     return made
