@@ -25,3 +25,13 @@ def test_ranges_by_blocks(spark, monkeypatch):
     assert got == answer() and any(r[6] for r in got) and any(r[2] is None for r in got)
     # A1:A3 is read by a sum over more cells, and C1:C3 has a text.
     assert dealt == [6, 24]
+
+
+def test_flagged_of_a_workbook(spark, sf, monkeypatch):
+    """The query's ranges are resampled by blocks: no row for a draw."""
+    from suspectra.plans import workbooks
+
+    dealt = []
+    whole = inference.draws
+    monkeypatch.setattr(inference, "draws", lambda placed, *args: dealt.append(placed.count()) or whole(placed, *args))
+    assert workbooks.workbook_flagged(spark, sf).columns == ["cell_id", "score"] and dealt == [0]
