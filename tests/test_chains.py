@@ -44,3 +44,14 @@ def test_as_many_analyses_as_a_range_has_errors(spark, monkeypatch, detector, cu
     assert (got.true_positives, got.false_positives, got.terms, got.n_missed, got.effort) == (want.true_positives, want.false_positives, want.terms, want.n_missed, want.effort)
     rows_of = lambda a: sorted(map(repr, (tuple(map(plain, r)) for r in simulate.iterations(spark, a).collect())))
     assert rows_of(got) == rows_of(want)
+
+
+def test_report_takes_an_analysis_for_each_state(spark, monkeypatch):
+    """Three errors in as many ranges: two analyses by bootstrap, before and after a correction in each."""
+    from suspectra.plans import retyping
+
+    calls = []
+    whole = inference.analyze
+    monkeypatch.setattr(inference, "analyze", lambda *args: calls.append(1) or whole(*args))
+    rows = retyping.simulation_report(spark, "/root/testdata/sf0.01").collect()
+    assert len(calls) == 2 and [r["number_of_errors"] for r in rows] == [3, 3]
